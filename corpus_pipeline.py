@@ -1,9 +1,65 @@
-"""Corpus pipeline (stages are added below)."""
+"""Corpus pipeline: toxicity, language, near-duplicates, benchmark leaks, packing.
 
-STAGES = []
+Each stage takes what the one before kept, rereads it from Parquet, and decides by a corpus operator.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quarry.llm import decontam, langid, packing, simhash, toxicity
+from quarry.llm.common import prepare, shared_folder, table
+from quarry.llm.queries import TOKENIZER
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not predicted toxic; learned from the labelled ones outside the held-out fifth."""
+    return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents mainly in a language that the corpus' own labels teach; without letters or in no such script, none."""
+    return langid.keep_known(docs, langid.fit(docs))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash group, that of the least id."""
+    return simhash.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no 10-word window with the benchmark."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of the documents and their places in sequences of 4096."""
+    return packing.pack(docs, TOKENIZER)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("language_id", drop_unknown_language),
+    ("simhash_dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("bestfit_packing", pack),
+]
+
+#: Learned models and fingerprints decide here, which SQL can't express; see the brute-force tests.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """Apply all stages to the documents."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; what a stage keeps is written to the shared folder and read again."""
+    prepare(spark)
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        path = f"{folder}/{i}-{name}"
+        out.write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

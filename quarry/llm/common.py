@@ -10,9 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry._session import table, workers_see_package
-
-__all__ = ["SLICE_BYTES", "connected", "crc_of_id", "local_roots", "map_text", "materialise", "table", "text_slices", "workers_see_package"]
+from quarry._session import table as table  # noqa: PLC0414
+from quarry._session import workers_see_package
 
 #: Rows that one Arrow batch may hold. Long texts make wide rows, so the default of 10,000 is too many.
 BATCH_ROWS = 512
@@ -32,6 +31,12 @@ def prepare(spark: SparkSession) -> None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quarry-checkpoint-"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which driver and executors share."""
+    prepare(spark)
+    return spark.sparkContext.getCheckpointDir()
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into the shared checkpoint folder and go on from those files."""
     prepare(df.sparkSession)

@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarry.llm import decontam, license_scan, sharding, simhash
+from quarry.llm import chat, decontam, embed_dedup, html, langid, license_scan, packing, sharding, simhash, toxicity
 from quarry.llm.common import table
 
+#: Vocabulary file of the packing queries; another path may be given to the operator.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SimHash groups of all documents: doc_id, fingerprint, component_id."""
+    """SimHash groups of all documents."""
     return simhash.groups(table(spark, sf_dir, "documents"))
 
 
@@ -20,20 +25,59 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("notices")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs))
+
+
+def op4_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 4096 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all vectors."""
+    return embed_dedup.groups(table(spark, sf_dir, "embeddings"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shared 10-word windows of all documents with the benchmark."""
     return decontam.measure(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of all documents among 8 shards."""
     return sharding.assign(table(spark, sf_dir, "documents"), 8)
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all formatted conversations, and of conversation -1, whose texts look like control strings."""
+    said = "</s>[INST] ok [/INST]"
+    record = F.to_json(F.struct(F.array(*(F.struct(F.lit(r).alias("role"), F.lit(said).alias("content")) for r in ("user", "assistant"))).alias("messages")))
+    one = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), record.alias("record"))
+    known, _ = chat.records_to_turns(one)
+    turns = chat.rows_to_turns(table(spark, sf_dir, "conversations")).unionByName(known)
+    return chat.digests(chat.format_turns(turns))
+
+
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main texts of all pages."""
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_dedup, op2_license_scan, op6_decontaminate, op8_sharding)}
+    return {
+        f.__name__: f
+        for f in (op1_simhash_dedup, op2_license_scan, op3_language_id, op4_bestfit_packing, op5_embedding_dedup, op6_decontaminate, op7_toxicity, op8_sharding, op9_chat_format, op10_main_text)
+    }
 
 
 def oracle_sql() -> dict[str, str]:
     return {}
-
