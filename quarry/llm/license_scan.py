@@ -46,7 +46,7 @@ NOTICES = (
     ("boost software license", "bsl-1.0"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
 )
-NOTICE_STEP = 12
+NOTICE_STEP = 9
 
 
 @dataclass(frozen=True)
@@ -76,8 +76,7 @@ class Scanner:
     """Compiled once for each worker process."""
 
     def __init__(self) -> None:
-        gap = rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
-        self.base = [(re.compile(gap.join(p.encode().split()) + rb"(?![0-9a-z\x80-\xff])"), label) for p, label in BASE]
+        self.base = [(re.compile(p + "(?=[ \n])"), label) for p, label in BASE]
         self.fuzzy = [regex.compile(rf"(?b)(?:{regex.escape(text, literal_spaces=True)}){{e<={edits_of(text)}}}") for text, _ in NOTICES]
         seeds: dict[str, list[tuple[int, int]]] = {}
         for k, (text, _) in enumerate(NOTICES):
@@ -88,33 +87,36 @@ class Scanner:
             self.seeds.add_word(piece, (len(piece), places))
         self.seeds.make_automaton()
 
-    def exact(self, w: Words, offsets: np.ndarray) -> list[tuple[int, int, str]]:
+    @staticmethod
+    def joined(w: Words) -> tuple[str, np.ndarray]:
+        """The words of a slice joined by single spaces, a line end after each text; and where each word starts."""
+        length = w.end - w.start
+        place = np.zeros(len(length) + 1, np.int64)
+        np.cumsum(length + 1, out=place[1:])
+        if not len(length):
+            return "", place
+        inside = np.repeat(w.start - place[:-1], length + 1) + np.arange(place[-1])
+        out = w.text[np.minimum(inside, len(w.text) - 1)]
+        out[place[1:] - 1] = 32
+        last = w.first[1:][w.counts() > 0] - 1
+        out[place[last + 1] - 1] = 10
+        return out.tobytes().decode("latin-1"), place
+
+    def exact(self, w: Words, text: str, place: np.ndarray) -> list[tuple[int, int, str]]:
         """(text, first word, label) of every place of a base phrase."""
-        text, out = w.text.tobytes(), []
+        out = []
         for pattern, label in self.base:
             for m in pattern.finditer(text):
-                at = int(np.searchsorted(w.start, m.start()))
-                if at == len(w.start) or w.start[at] != m.start():
-                    continue  # inside a word
-                d = int(np.searchsorted(w.first, at, "right")) - 1
-                if m.end() <= offsets[d + 1]:
+                at = int(np.searchsorted(place, m.start()))
+                if place[at] == m.start():  # not inside a word
+                    d = int(np.searchsorted(w.first, at, "right")) - 1
                     out.append((d, at - int(w.first[d]), label))
         return out
 
-    def notices(self, w: Words) -> list[tuple[int, Hit]]:
+    def notices(self, w: Words, text: str, place: np.ndarray) -> list[tuple[int, Hit]]:
         """(text, hit) of every notice within its bound of edits; overlapping finds of one notice count once."""
-        if not len(w.start):
-            return []
-        # words of a slice joined by single spaces, an empty line between texts
-        length = w.end - w.start
-        place = np.zeros(len(length) + 1, np.int64)
-        np.cumsum(length + 1, out=place[1:])
-        inside = np.repeat(w.start - place[:-1], length + 1) + np.arange(place[-1])
-        joined = w.text[np.minimum(inside, len(w.text) - 1)]
-        joined[place[1:] - 1] = 32
-        last = w.first[1:][w.counts() > 0] - 1
-        joined[place[last + 1] - 1] = 10
-        text, out, done = joined.tobytes().decode("latin-1"), [], {}
+        out: list[tuple[int, Hit]] = []
+        done: dict[int, int] = {}
         for end, (size, places) in self.seeds.iter(text):
             for k, at in places:
                 notice, label = NOTICES[k]
@@ -142,7 +144,8 @@ def scan_text(scanner: Scanner, text: str) -> tuple[int, list[tuple[int, str]],
     raw = np.frombuffer(text.encode(), np.uint8)
     offsets = np.array([0, len(raw)])
     w = Words(offsets, raw)
-    return len(w.start), sorted((a, x) for _, a, x in scanner.exact(w, offsets)), [h for _, h in scanner.notices(w)]
+    joined = scanner.joined(w)
+    return len(w.start), sorted((a, x) for _, a, x in scanner.exact(w, *joined)), [h for _, h in scanner.notices(w, *joined)]
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -166,9 +169,10 @@ def scan(docs: DataFrame) -> DataFrame:
             for first, end, offsets, raw in text_slices(b.column(1)):
                 w = Words(offsets, raw)
                 words[first:end] = w.counts()
-                for d, at, label in scanner.exact(w, offsets):
+                joined = scanner.joined(w)
+                for d, at, label in scanner.exact(w, *joined):
                     base[first + d].append((at, label))
-                for d, hit in scanner.notices(w):
+                for d, hit in scanner.notices(w, *joined):
                     fuzzy[first + d].append(hit)
             yield pa.RecordBatch.from_arrays(
                 [

@@ -197,7 +197,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bo
 
 def _ends(rows: list[tuple[int, int, int, int, int]]) -> list[tuple[int, ...]]:
     out = []
-    for row, after in zip(rows, [*rows[1:], (None,)], strict=True):
+    for row, after in zip(rows, [*rows[1:], (None,)], strict=False):
         out.append((row[0], row[1], after[1] if after[0] == row[0] else 1 << 62, *row[2:]))
     return out
 

@@ -28,16 +28,25 @@ TRAIN_TOXIC, TRAIN_CLEAN = 3000, 5000
 #: A term stands in this share of the toxic training documents at least, and in this many.
 LEAST_SHARE, LEAST_DOCS = 0.02, 5
 #: Share of toxic documents among those of a term, as if both classes were equally many.
-PRECISION = 0.97
+PRECISION = 0.9
+#: A term keeps its edits if no more words of the clean training documents are that near to it.
+MOST_NEAR = 3
+#: Log of the ratio of a term's rates in toxic and in clean text that counts as weight 1.
+FULL = math.log(500)
+#: Terms whose rates differ by less are left out.
+LEAST_RATIO = 20
 #: Words around a hit that are looked at.
 CONTEXT = 6
 FUZZY = 0.8
 QUOTED, ADDRESSED = 0.25, 1.25
 CACHE_WORDS = 400_000
 RIDGE = 5e-4
+#: Log-odds of a text without a hit, at most: such a text is never predicted toxic.
+NO_HIT = -1.0
 
 _WORD = re.compile(r"[^\W_]+(?:[*@$][^\W_]+)*")
 _QUOTES = "\"'«»‹›“”„‘’`"
+_OPENING, _CLOSING = "\"«“„", "\"»”“"
 #: Words that report or mention, and words that address somebody, in the languages of the corpus. Fixed values.
 _REPORTING = frozenset("said says wrote called calls quote quoted quotes word words term terms phrase insult insults slur reported alleged sagte schrieb nannte wort zitat dit écrit appelé mot citation dijo escribió llamó palabra cita".split())
 _ADDRESS = frozenset("you your youre du dich dir dein ihr tu toi ton vous votre tú usted tuyo".split())
@@ -51,6 +60,16 @@ def edits_of(term: str, stem: bool) -> int:
     return 0 if n < 5 else 1 if n < 9 else 2
 
 
+@dataclass(frozen=True, order=True)
+class Term:
+    """A word, or a stem that any ending may follow; the edits it may have and the weight of a hit."""
+
+    text: str
+    stem: bool
+    edits: int
+    weight: float = 1.0
+
+
 class Lexicon:
     """Trie of terms and its lazily built deterministic product with Levenshtein automata.
 
@@ -58,42 +77,32 @@ class Lexicon:
     deletion, substitution and swap of neighbours.
     """
 
-    def __init__(self, terms: Iterable[tuple[str, bool]]):
-        self.terms = sorted(set(terms))
+    def __init__(self, terms: Iterable[Term]):
         self.children: list[dict[str, int]] = [{}]
-        self.ends: list[bool] = [False]  # a whole word ends here
-        self.stems: list[bool] = [False]  # a stem ends here
         self.bound: list[int] = [0]  # most edits of any term below
-        for term, stem in self.terms:
-            node, e = 0, edits_of(term, stem)
-            self.bound[0] = max(self.bound[0], e)
-            for c in term:
+        self.words: list[Term | None] = [None]  # the term that ends at a node, as a whole word or as a stem
+        self.stems: list[Term | None] = [None]
+        for term in sorted(set(terms)):
+            node = 0
+            self.bound[0] = max(self.bound[0], term.edits)
+            for c in term.text:
                 if c not in self.children[node]:
                     self.children[node][c] = len(self.children)
                     self.children.append({})
-                    self.ends.append(False)
-                    self.stems.append(False)
                     self.bound.append(0)
+                    self.words.append(None)
+                    self.stems.append(None)
                 node = self.children[node][c]
-                self.bound[node] = max(self.bound[node], e)
-            if stem:
-                self.stems[node] = True
-            else:
-                self.ends[node] = True
-        self.own: list[int] = [0] * len(self.children)  # most edits of the term that ends at a node
-        for term, stem in self.terms:
-            node = 0
-            for c in term:
-                node = self.children[node][c]
-            self.own[node] = max(self.own[node], edits_of(term, stem))
+                self.bound[node] = max(self.bound[node], term.edits)
+            (self.stems if term.stem else self.words)[node] = term
         self.reset()
 
     def reset(self) -> None:
         self.number: dict[frozenset, int] = {}
         self.states: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
-        self.weight_at: list[float] = []
-        self.sticky: list[float] = []
+        self.whole: list[tuple[float, bool]] = []  # weight if a word ends in a state, and whether exactly
+        self.sticky: list[tuple[float, bool]] = []  # the same whatever follows
         self.start = self._state({(0, 0, "")})
 
     def _state(self, items: set[tuple[int, int, str]]) -> int:
@@ -110,10 +119,9 @@ class Lexicon:
             self.number[key] = len(self.states)
             self.states.append(key)
             self.moves.append({})
-            whole = [e for n, e, o in key if not o and self.ends[n] and e <= self.own[n]]
-            stem = [e for n, e, o in key if not o and self.stems[n] and e <= self.own[n]]
-            self.weight_at.append(1.0 if 0 in whole else FUZZY if whole else 0.0)
-            self.sticky.append(1.0 if 0 in stem else FUZZY if stem else 0.0)
+            for ends, out in ((self.words, self.whole), (self.stems, self.sticky)):
+                met = [(t.weight * (FUZZY if e else 1.0), not e) for n, e, o in key if not o and (t := ends[n]) and e <= t.edits]
+                out.append(max(met, default=(0.0, False)))
         return self.number[key]
 
     def _move(self, state: int, c: str) -> int:
@@ -135,92 +143,95 @@ class Lexicon:
         self.moves[state][c] = out
         return out
 
-    def weight(self, word: str) -> float:
-        """1 for a term, FUZZY for a misspelled one, 0 else."""
-        state, sticky = self.start, self.sticky[self.start]
+    def find(self, word: str) -> tuple[float, bool]:
+        """Weight of the best term that the word is or nearly is, and whether it is that term exactly."""
+        state = self.start
+        best = self.sticky[state]
         for c in word:
             moves = self.moves[state]
             state = moves[c] if c in moves else self._move(state, c)
-            if self.sticky[state] > sticky:
-                sticky = self.sticky[state]
             if not self.states[state]:
-                return sticky
-        return max(sticky, self.weight_at[state])
+                return best
+            if self.sticky[state] > best:
+                best = self.sticky[state]
+        return max(best, self.whole[state])
 
 
 @dataclass
 class Model:
-    """Terms (word, is it a stem), words that are near a term but innocent, and the logistic curve."""
+    """Terms, words that are near a term but innocent, and the weights of the logistic curve."""
 
-    terms: list[tuple[str, bool]]
+    terms: list[Term]
     innocent: frozenset[str] = frozenset()
-    slope: float = 3.0
-    offset: float = -1.5
+    curve: tuple[float, float, float] = (2.0, 0.3, -2.0)
     _lexicon: Lexicon | None = field(default=None, repr=False)
     _weights: dict[str, float] = field(default_factory=dict, repr=False)
 
     def __getstate__(self) -> dict:
-        return {"terms": self.terms, "innocent": self.innocent, "slope": self.slope, "offset": self.offset, "_lexicon": None, "_weights": {}}
+        return {"terms": self.terms, "innocent": self.innocent, "curve": self.curve, "_lexicon": None, "_weights": {}}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
 
     def weight(self, word: str) -> float:
-        if self._lexicon is None:
-            self._lexicon = Lexicon(self.terms)
+        """Weight of a word as a hit, 0 if it is none; kept by word in this process."""
         known = self._weights
-        if len(known) >= CACHE_WORDS:
-            known.clear()
-        if len(self._lexicon.states) > 200_000:
-            self._lexicon.reset()
-        w = self._lexicon.weight(word)
-        known[word] = w = 0.0 if w < 1 and word in self.innocent else w
+        w = known.get(word)
+        if w is None:
+            if self._lexicon is None:
+                self._lexicon = Lexicon(self.terms)
+            if len(known) >= CACHE_WORDS:
+                known.clear()
+            if len(self._lexicon.states) > 100_000:
+                self._lexicon.reset()
+            w, exact = self._lexicon.find(word)
+            known[word] = w = 0.0 if not exact and word in self.innocent else w
         return w
 
-    def hits(self, text: str) -> list[tuple[int, int, float, float]]:
-        """(first character, end, weight, factor of the context) of every hit of a lower-cased text."""
+    def hits(self, text: str) -> tuple[int, list[tuple[int, int, float, float]]]:
+        """Words of a lower-cased text, and (first character, end, weight, factor of the context) of every hit."""
+        words = _WORD.findall(text)
         known, found = self._weights, False
-        for word in set(_WORD.findall(text)):
+        for word in set(words):
             w = known.get(word)
             if w is None:
                 w = self.weight(word)
             if w:
                 found = True
         if not found:
-            return []
-        places = list(_WORD.finditer(text))
-        words = [m.group() for m in places]
+            return len(words), []
         out = []
-        for i, m in enumerate(places):
-            w = known.get(words[i])
-            if w is None:
-                w = self.weight(words[i])
-            if w:
+        for i, m in enumerate(_WORD.finditer(text)):
+            if w := self.weight(words[i]):
                 out.append((m.start(), m.end(), w, self._context(text, words, i, m)))
-        return out
+        return len(words), out
 
     @staticmethod
     def _context(text: str, words: list[str], i: int, m: re.Match) -> float:
+        """Weight of a hit's surroundings: quoted or mentioned, addressed to somebody, or neither."""
         near = words[max(0, i - CONTEXT) : i] + words[i + 1 : i + 1 + CONTEXT]
         before, after = text[max(0, m.start() - 40) : m.start()], text[m.end() : m.end() + 40]
         quoted = before[-1:] in _QUOTES and after[:1] in _QUOTES if before[-1:] and after[:1] else False
         if not quoted:
-            opened = max((before.rfind(q) for q in "\"«“„"), default=-1)
-            closed = [k for q in "\"»”“" if (k := after.find(q)) >= 0]
+            opened = max(before.rfind(q) for q in _OPENING)
+            closed = [k for q in _CLOSING if (k := after.find(q)) >= 0]
             quoted = opened >= 0 and bool(closed) and "\n" not in before[opened:] + after[: min(closed)]
         if quoted or not _REPORTING.isdisjoint(near):
             return QUOTED
         return ADDRESSED if not _ADDRESS.isdisjoint(near) else 1.0
 
-    def mass(self, text: str | None) -> float:
-        """Sum of the weights of all hits of a text."""
-        return sum(w * f for *_, w, f in self.hits((text or "").lower()))
+    def of(self, words: int, hits: list[tuple[int, int, float, float]]) -> float:
+        """Score of a text with that many words and those hits."""
+        x = _features(words, sum(w * f for *_, w, f in hits))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(a * b for a, b in zip(self.curve, x, strict=True))))))
 
     def score(self, text: str | None) -> float:
-        return self.of(self.mass(text))
+        return self.of(*self.hits((text or "").lower()))
+
 
-    def of(self, mass: float) -> float:
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * math.log1p(mass) + self.offset))))
+def _features(words: int, mass: float) -> tuple[float, float, float]:
+    """What the curve sees: the hits' weight, their weight for each thousand words, and a constant."""
+    return math.log1p(mass), math.log1p(1000 * mass / (words + 100)), 1.0
 
 
 # --- training -----------------------------------------------------------------------------------
@@ -235,86 +246,121 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.max("__toxic").alias("toxic"), F.min("text").alias("text")).select("toxic", "text")
 
 
-def _distinct_enough(rows: list[tuple[int, str]]) -> list[tuple[int, list[str]]]:
-    """Labels and distinct words of the rows, without near copies of earlier rows (by a sketch of word runs)."""
+def _distinct_enough(rows: list[tuple[int, str]]) -> list[tuple[int, str]]:
+    """The rows without near copies of earlier ones (by a sketch of word runs), texts lower-cased."""
     seen: set[int] = set()
     out = []
     for toxic, text in rows:
-        words = _WORD.findall(text.lower())
+        text = text.lower()
+        words = _WORD.findall(text)
         runs = sorted({xxhash.xxh64_intdigest(" ".join(words[i : i + 4])) for i in range(max(1, len(words) - 3))})[:32]
         known = sum(h in seen for h in runs)
         seen.update(runs)
         if known * 4 <= len(runs):
-            out.append((toxic, sorted(set(words))))
+            out.append((toxic, text))
     return out
 
 
-def learn_terms(rows: list[tuple[int, list[str]]]) -> list[tuple[str, bool]]:
+def learn_terms(rows: list[tuple[int, str]]) -> list[Term]:
     """Words and stems that tell toxic documents; of a family of prefixes the longest that loses no document."""
 
-    def features(words: list[str]) -> set[tuple[str, bool]]:
-        out = {(w, False) for w in words if 3 <= len(w) <= 24}
-        out |= {(w[:k], True) for w in words for k in range(4, min(len(w), 11))}
-        return out
+    def features(words: Iterable[str]) -> Iterator[tuple[str, bool]]:
+        for w in words:
+            if 3 <= len(w) <= 24:
+                yield w, False
+            for k in range(4, min(len(w), 10) + 1):
+                yield w[:k], True
 
-    toxic = [features(words) for y, words in rows if y]
-    clean = [words for y, words in rows if not y]
+    toxic = [_WORD.findall(t) for y, t in rows if y]
+    clean = [_WORD.findall(t) for y, t in rows if not y]
     if not toxic:
         return []
-    counts = Counter(f for x in toxic for f in x)
+    have = [set(features(set(words))) for words in toxic]
+    counts = Counter(f for x in have for f in x)
     least = max(LEAST_DOCS, LEAST_SHARE * len(toxic))
     counts = {f: n for f, n in counts.items() if n >= least}
     against: Counter = Counter()
     for words in clean:
-        against.update(features(words) & counts.keys())
+        against.update({f for f in features(set(words)) if f in counts})
 
     def telling(n: int, m: int) -> float:
         return (n / len(toxic)) / (n / len(toxic) + (m + 0.05) / max(1, len(clean)))
 
     good = sorted((f for f, n in counts.items() if telling(n, against[f]) >= PRECISION), key=lambda f: (-counts[f], f[1], -len(f[0]), f[0]))
-    terms: list[tuple[str, bool]] = []
-    held = {f: {i for i, x in enumerate(toxic) if f in x} for f in good}
+    held = {f: {i for i, x in enumerate(have) if f in x} for f in good}
+    chosen: list[tuple[str, bool]] = []
     for f in good:
-        if any(t[1] and f[0].startswith(t[0]) for t in terms):
+        if any(t[1] and f[0].startswith(t[0]) for t in chosen):
             continue
         # a wider stem must be as telling in what it adds to the terms that it holds
-        within = [t for t in terms if t[0].startswith(f[0])]
+        within = [t for t in chosen if t[0].startswith(f[0])]
         more = len(held[f] - set().union(*(held[t] for t in within)))
         more_clean = max(0, against[f] - sum(against[t] for t in within))
         if more >= least and telling(more, more_clean) >= PRECISION:
-            terms = [t for t in terms if not (f[1] and t[0].startswith(f[0]))]
-            terms.append(f)
-    return sorted(terms)
+            chosen = [t for t in chosen if not (f[1] and t[0].startswith(f[0]))] + [f]
+    rates = []
+    for texts in (toxic, clean):
+        seen = Counter(f for words in texts for f in features(words) if f in held)
+        rates.append((seen, sum(map(len, texts)) + 1))
+    (a, n), (b, m) = rates
+    ratio = {f: (a[f] / n) / ((b[f] + 0.5) / m) for f in chosen}
+    terms = [Term(*f, edits_of(*f), min(1.0, math.log(ratio[f]) / FULL)) for f in chosen if ratio[f] >= LEAST_RATIO]
+    return _without_neighbours(terms, {w for words in clean for w in words})
+
+
+def _without_neighbours(terms: list[Term], clean: set[str]) -> list[Term]:
+    """The terms, without edits for those that many clean words are near to."""
+    every = Lexicon(terms)
+    near = [w for w in clean if (x := every.find(w))[0] and not x[1]]
+    out = []
+    for t in terms:
+        alone = Lexicon([t])
+        many = t.edits and sum(alone.find(w)[0] > 0 for w in near) > MOST_NEAR
+        out.append(Term(t.text, t.stem, 0, t.weight) if many else t)
+    return sorted(out)
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Learn terms, innocent neighbours and the curve. Without a toxic label every score is that of no hits."""
-    prepare(docs.sparkSession)
-    rows = _distinct_enough(sorted((int(r.toxic), r.text) for r in training_rows(docs, labels).collect()))
+def train(rows: list[tuple[int, str]]) -> Model:
+    """A model of (label, text) rows. Without a toxic label every score is that of no hits."""
+    rows = _distinct_enough(sorted(rows))
     model = Model(learn_terms(rows))
     lexicon = Lexicon(model.terms)
-    model.innocent = frozenset(w for w in {w for y, words in rows if not y for w in words} if 0 < lexicon.weight(w) < 1)
-    model.slope, model.offset = _curve([(y, sum(w for w in map(model.weight, words) if w)) for y, words in rows])
+    model.innocent = frozenset(w for w in {w for y, t in rows if not y for w in _WORD.findall(t)} if (x := lexicon.find(w))[0] and not x[1])
+    points = [(y, n, sum(w * f for *_, w, f in hits)) for y, t in rows for n, hits in [model.hits(t)]]
+    if model.terms and len({y for y, _, _ in points}) == 2:
+        a, b, c = _curve(points)
+        model.curve = (a, b, min(c, NO_HIT))
     return model
 
 
-def _curve(points: list[tuple[int, float]]) -> tuple[float, float]:
-    """Slope and offset of a logistic regression of the label on log(1 + mass), classes weighed equally, with a slight ridge."""
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """Learn terms, innocent neighbours and the curve from a bounded number of labelled documents."""
+    prepare(docs.sparkSession)
+    return train([(int(r.toxic), r.text) for r in training_rows(docs, labels).collect()])
+
+
+def _curve(points: list[tuple[int, int, float]]) -> tuple[float, float, float]:
+    """Weights of a logistic regression of the label on the features, classes weighed equally, with a slight ridge."""
     y = np.array([p[0] for p in points], float)
-    if y.size == 0 or y.min() == y.max():
-        return 3.0, -1.5
-    x = np.stack([np.log1p([p[1] for p in points]), np.ones(len(points))], axis=1)
+    x = np.array([_features(n, mass) for _, n, mass in points])
     sample = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
-    beta = np.array([3.0, -1.5])
-    for _ in range(50):
+    ridge = RIDGE * np.diag([1.0, 1.0, 0.0])
+    beta = np.zeros(3)
+
+    def loss(b: np.ndarray) -> float:
+        z = x @ b
+        return float(sample @ (np.logaddexp(0, z) - y * z) + b @ ridge @ b / 2)
+
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        g = x.T @ (sample * (p - y)) + RIDGE * np.array([beta[0], 0.0])
-        h = (x * (sample * p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag([RIDGE, 1e-6])
-        step = np.linalg.solve(h, g)
-        beta = beta - np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-8:
+        step = np.linalg.solve((x * (sample * p * (1 - p))[:, None]).T @ x + ridge + 1e-9 * np.eye(3), x.T @ (sample * (p - y)) + ridge @ beta)
+        size = 1.0
+        while size > 1e-6 and loss(beta - size * step) > loss(beta):
+            size /= 2
+        beta = beta - size * step
+        if np.abs(size * step).max() < 1e-8:
             break
-    return float(beta[0]), float(beta[1])
+    return tuple(beta.tolist())
 
 
 # --- applying -----------------------------------------------------------------------------------
@@ -334,8 +380,8 @@ def score(docs: DataFrame, model: Model, with_hits: bool = False) -> DataFrame:
         for b in batches:
             scores, hits = [], []
             for text in b.column(2):
-                found = m.hits((text.as_py() or "").lower())
-                scores.append(m.of(sum(w * f for *_, w, f in found)))
+                words, found = m.hits((text.as_py() or "").lower())
+                scores.append(m.of(words, found))
                 if with_hits:
                     hits.append([{"first": a, "end": e, "weight": w, "context": f} for a, e, w, f in found])
             columns = [b.column(0), b.column(1), pa.array(scores, pa.float64()), pa.array([int(x >= 0.5) for x in scores], pa.int32())]
