@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import crc_of_id, map_text, prepare
 
 #: Labelled documents of each class that the model is fitted to, at most; taken by hash of their ids.
-TRAIN_TOXIC, TRAIN_CLEAN = 3000, 5000
+TRAIN_TOXIC, TRAIN_CLEAN = 2000, 3000
 #: A term stands in this share of the toxic training documents at least, and in this many.
 LEAST_SHARE, LEAST_DOCS = 0.02, 5
 #: Share of toxic documents among those of a term, as if both classes were equally many.
@@ -275,9 +275,15 @@ def learn_terms(rows: list[tuple[int, str]]) -> list[Term]:
     clean = [_WORD.findall(t) for y, t in rows if not y]
     if not toxic:
         return []
-    have = [set(features(set(words))) for words in toxic]
-    counts = Counter(f for x in have for f in x)
     least = max(LEAST_DOCS, LEAST_SHARE * len(toxic))
+    # most features are rare: a first count by hash rules them out before any of them is kept
+    rough = np.zeros(1 << 22, np.int32)
+    for words in toxic:
+        at = np.fromiter(map(hash, set(features(set(words)))), np.int64) & (len(rough) - 1)
+        np.add.at(rough, at, 1)
+    counts: dict[tuple[str, bool], int] = Counter()
+    for words in toxic:
+        counts.update({f for f in features(set(words)) if rough[hash(f) & (len(rough) - 1)] >= least})
     counts = {f: n for f, n in counts.items() if n >= least}
     against: Counter = Counter()
     for words in clean:
@@ -287,7 +293,11 @@ def learn_terms(rows: list[tuple[int, str]]) -> list[Term]:
         return (n / len(toxic)) / (n / len(toxic) + (m + 0.05) / max(1, len(clean)))
 
     good = sorted((f for f, n in counts.items() if telling(n, against[f]) >= PRECISION), key=lambda f: (-counts[f], f[1], -len(f[0]), f[0]))
-    held = {f: {i for i, x in enumerate(have) if f in x} for f in good}
+    held: dict[tuple[str, bool], set[int]] = {f: set() for f in good}
+    for i, words in enumerate(toxic):
+        for f in features(set(words)):
+            if f in held:
+                held[f].add(i)
     chosen: list[tuple[str, bool]] = []
     for f in good:
         if any(t[1] and f[0].startswith(t[0]) for t in chosen):
