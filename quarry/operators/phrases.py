@@ -33,6 +33,8 @@ def containing(texts: DataFrame, phrases: DataFrame) -> DataFrame:
         asked: dict[str, list[int]] = {}
         for r in part.collect():
             asked.setdefault(r.phrase, []).append(r.query_id)
+        if not asked:
+            continue
         sent = spark.sparkContext.broadcast(asked)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:

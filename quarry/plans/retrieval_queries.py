@@ -10,8 +10,13 @@ from quarry.config import RetrievalSettings
 from quarry.functions import text as X
 from quarry.operators import evaluation as E
 from quarry.operators import index, retrieval
+from quarry.plans import text_queries
 from quarry.plans.registry import BENCHMARK, BM25, CHUNKS, TOKENS, hybrid, query
-from quarry.plans.text_queries import chunks_of
+
+
+def chunks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunk table, kept while a query's plan reads it several times; lost parts are computed again."""
+    return text_queries.chunks_of(spark, sf_dir).persist()
 
 
 def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -221,12 +221,12 @@ def schedule_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("course_id", "found", "has_conflict", what.alias("what"))
 
 
-@query("SELECT * FROM (VALUES (1, 'native', NULL), (2, 'ocr', 0.9), (3, 'mixed', 0.9), (4, 'mixed', 0.7)) t(span_id, extraction_method, ocr_confidence)")
+@query("SELECT * FROM (VALUES (1, 'native', -1.0), (2, 'ocr', 0.9), (3, 'mixed', 0.9), (4, 'mixed', 0.7)) t(span_id, extraction_method, ocr_confidence)")
 def span_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How spans of pages were read (small literal tables)."""
     spans = spark.createDataFrame([(1, 1, 1, 1), (2, 1, 2, 2), (3, 1, 1, 2), (4, 1, 2, 4)], "span_id int, document_id int, page_start int, page_end int")
     pages = spark.createDataFrame([(1, 2, 0.9), (1, 4, 0.7)], "document_id int, page int, confidence double")
-    return answers.span_provenance(spans, pages)
+    return answers.span_provenance(spans, pages).fillna(-1.0, ["ocr_confidence"])
 
 
 @query(r"""
