@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.llm.common import map_text, materialise
 
@@ -42,8 +43,7 @@ def shard_column(df: DataFrame, key: str, counts: dict[str, int]) -> DataFrame:
             keys = b.column(b.schema.get_field_index(key)).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(jump_hash(keys, n), pa.int32()) for n in counts.values())], names=[*b.schema.names, *counts])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [f"`{c}` int" for c in counts]
-    return map_text(df, run, ", ".join(fields))
+    return map_text(df, run, T.StructType([*df.schema.fields, *(T.StructField(c, T.IntegerType()) for c in counts)]))
 
 
 def assign(docs: DataFrame, shards: int = 8) -> DataFrame:

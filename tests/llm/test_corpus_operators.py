@@ -354,6 +354,13 @@ def test_automaton_equals_edit_distance(terms, word, edits):
     assert exact == (word in terms) and (weight > 0) == any(plain_distance(t, word) <= edits for t in terms)
 
 
+def test_labels_with_nothing_to_learn(spark):
+    d = docs(spark, ["one", "two", None])
+    for toxic in (0, 1):
+        model = toxicity.fit(d, spark.createDataFrame([(i, toxic) for i in range(3)], "doc_id long, toxic int"))
+        assert toxicity.score(d, model).where("predicted = 1").count() == 0
+
+
 def test_toxicity(spark, real):
     bad = ["you are such a blorgot and a wimfret", "what a blorgot wimfret thing", "blorgot blorgot they are all wimfret"]
     some = random.Random(7)
@@ -404,6 +411,14 @@ def test_sharding(spark):
     assert sharding.assign(docs(spark, [])).count() == 0
 
 
+def test_shard_files(spark, tmp_path):
+    d = docs(spark, AWKWARD).withColumn("odd name", F.struct(F.lit(1).alias("a b")))
+    sharding.write_shards(d, str(tmp_path / "out"), 3)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == len(AWKWARD) and set(back.columns) == set(d.columns)
+    assert all(r.shard == plain_jump(r.doc_id, 3) for r in back.select("doc_id", "shard").collect())
+
+
 # --- 9 chat ------------------------------------------------------------------------------------
 
 
