@@ -22,7 +22,7 @@ from quarry.llm.common import Words, map_text, text_slices
 #: Phrases of the base scan: consecutive words and the label they give. Fixed values.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: Short notices as words and the label they give; the fuzzy scan allows one edit in NOTICE_STEP characters.
+#: Short notices as words and the label they give.
 NOTICES = (
     ("general public license", "gpl"),
     ("all rights reserved", "reserved"),
@@ -46,7 +46,9 @@ NOTICES = (
     ("boost software license", "bsl-1.0"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
 )
-NOTICE_STEP = 9
+#: One edit in so many characters: of notices under SHORT characters, and of longer ones. Pieces of long notices
+#: are full of common words, so they have to be longer to be rare.
+SHORT, SHORT_STEP, LONG_STEP = 24, 9, 12
 
 
 @dataclass(frozen=True)
@@ -62,7 +64,7 @@ class Hit:
 
 def edits_of(notice: str) -> int:
     """Edits that a notice may have."""
-    return len(notice) // NOTICE_STEP
+    return len(notice) // (SHORT_STEP if len(notice) < SHORT else LONG_STEP)
 
 
 def pieces(notice: str) -> list[tuple[int, str]]:
