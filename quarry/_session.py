@@ -31,3 +31,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one input table through Spark's own reader, so that any store Spark knows will do."""
     workers_see_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Bytes for each core below which a table is dealt over all cores before work in Python.
+SMALL_SHARE = 16 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small table dealt over all cores; larger tables keep their splits, so no text is shuffled.
+
+    A small table is often one file with one row group, which only one task can read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SMALL_SHARE else df

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry._session import table
+from quarry._session import spread, table
 from quarry.config import ChunkSettings
 from quarry.functions import text as X
 from quarry.operators import chunking, index
@@ -18,7 +18,7 @@ WHOLE_LINES = ChunkSettings(split_long=False)
 
 def chunks_of(spark: SparkSession, sf_dir: str, settings: ChunkSettings = WHOLE_LINES) -> DataFrame:
     """Chunks of all documents, by lines."""
-    return chunking.chunk_nodes(chunking.line_nodes(table(spark, sf_dir, "documents")), settings)
+    return chunking.chunk_nodes(chunking.line_nodes(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))), settings)
 
 
 @query(r"""
