@@ -26,8 +26,8 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group, that of the least id."""
-    return simhash.keep_one(docs)
+    """One document of each group of near-duplicates by SimHash and 5-word shingles, that of the least id."""
+    return simhash.keep_verified(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

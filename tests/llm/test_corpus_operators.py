@@ -17,6 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from quarry.llm import chat, decontam, embed_dedup, html, langid, license_scan, packing, sharding, simhash, toxicity
 from quarry.llm.common import connected
 
@@ -87,6 +88,33 @@ def test_simhash_keep_one_null_ids_and_empty(spark):
     assert Counter(r.component_id for r in simhash.groups(docs(spark, ["a b c"] * 3, [4, 4, 2])).collect()) == {2: 3}
 
 
+def plain_shingles(text):
+    w = text.lower().split()
+    return {" ".join(w[i : i + 5]) for i in range(len(w) - 4)} or {" ".join(w)}
+
+
+def test_pipeline_drops_near_copies_by_shingles(spark):
+    rng = random.Random(8)
+    texts = []
+    for _ in range(25):
+        w = [f"w{rng.randrange(400)}" for _ in range(rng.choice((60, 150, 300)))]
+        for n in (0, 1, 2, 4):
+            v = list(w)
+            for at in rng.sample(range(len(v)), n):
+                v[at] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(v))
+    texts += [texts[0].upper() + " ", "one two", "one two three"]
+    sets = [plain_shingles(t) for t in texts]
+    jaccard = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    comp = plain_components(range(len(texts)), lambda a, b: jaccard(a, b) >= 0.8)
+    fp = [plain_fingerprint(t) for t in texts]
+    assert sum((fp[a] ^ fp[b]).bit_count() > 3 for a, b in comp.items()) > 10
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs(spark, texts), SF).collect()}
+    assert kept == set(comp.values())
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(docs(spark, texts), tile=20).collect()}
+    assert got == comp
+
+
 def test_connected_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1200)] + [(5000, 5000 + i) for i in range(1, 300)] + [(None, 4), (7, 7)]
