@@ -165,6 +165,13 @@ def test_license_fuzzy_spans(spark):
     assert got[3].labels == "mit"
 
 
+def test_long_notices_allow_an_edit_in_nine_characters():
+    scanner = license_scan.Scanner()
+    for text, label, edits in (("licensd under the apacha license versoin 2 0", "apache-2.0", 4), ("licensd under the apacha licensx versoin 2 0", "apache-2.0", 5), ("licxnsed undxr the mit licxnse", "mit", 3)):
+        found = [h for h in license_scan.scan_text(scanner, "so " + text + " here")[2] if h.label == label]
+        assert found and min(h.edits for h in found) == edits
+
+
 def test_pigeonhole_misses_no_notice():
     rng = random.Random(1)
     scanner = license_scan.Scanner()
