@@ -50,7 +50,9 @@ BIAS, LINKS, SHORT, LONG, SENTENCE, HEADING = 0.2, 3.5, 0.6, -1.2, -0.6, -0.8
 NEXT_TO, CLOSE, LEVELS = 0.5, 1.0, 3
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-_ATTR = re.compile(r"(class|id|role|aria-label|hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: Attributes whose words name an element's purpose. Those of html and body name the layout, not what is in them.
+NAMES, WHOLE = frozenset("class id role aria-label".split()), frozenset("html body".split())
 _SPACE = re.compile(r"\s+")
 _END = re.compile(r"[.!?…:;][\"'»”)]*$")
 
@@ -93,9 +95,11 @@ def _named(attrs: str) -> tuple[float, float, bool]:
         key, value = m.group(1).lower(), (m.group(2) or m.group(3) or m.group(4) or "").lower()
         if key == "hidden":
             hidden = True
+        elif key == "aria-hidden":
+            hidden |= value.strip() == "true"
         elif key == "style":
             hidden |= "display:none" in value.replace(" ", "")
-        elif value:
+        elif value and key in NAMES:
             for pattern, c in NAME_COST:
                 if pattern.search(value.replace("_", "-")):
                     bad, good = max(bad, c), min(good, c)
@@ -185,6 +189,8 @@ def blocks_of(page: str) -> list[Block]:
             continue
         attrs = m.group(3) or m.group(6) or ""
         bad, good, hidden = _named(attrs) if attrs else (0.0, 0.0, False)
+        if tag in WHOLE:
+            bad, good = 0.0, 0.0
         cost = TAG_COST.get(tag, 0.0)
         count += 1
         if not attrs.endswith("/") or tag not in ("svg", "math", "path"):

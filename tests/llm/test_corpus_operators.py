@@ -522,6 +522,25 @@ def test_page_parts():
     assert html.main_text(PAGE) == "The title\nFirst & best paragraph.\nSecond line bold.\none item\ntwo items\nCell a\nCell b"
 
 
+ARTICLE = "<p>The river rose over night, and the bridge below the mill was closed to all carts until the water fell again.</p>" * 3
+
+
+@pytest.mark.parametrize("attrs", ['aria-hidden="false"', 'href="/hidden-gems"', 'title="the hidden cost"', "data-hidden", 'data-class="sidebar"'])
+def test_hidden_only_by_its_own_attribute(attrs):
+    assert "river" in html.main_text(f"<html><body><article {attrs}>{ARTICLE}</article></body></html>")
+
+
+@pytest.mark.parametrize("attrs", ["hidden", 'hidden=""', 'class="x" HIDDEN', 'aria-hidden="true"', 'style="display: none"'])
+def test_hidden_elements_are_silent(attrs):
+    assert html.main_text(f"<html><body><article {attrs}>{ARTICLE}</article></body></html>") == ""
+
+
+@pytest.mark.parametrize("name", ["page has-sidebar", "header-fixed"])
+def test_layout_classes_of_the_page_are_no_boilerplate(name):
+    assert "river" in html.main_text(f'<html class="{name}"><body class="{name}"><article>{ARTICLE}</article></body></html>')
+    assert html.main_text(f'<html><body><div class="{name}">{ARTICLE}</div></body></html>') == ""
+
+
 def test_pages_of_the_tables(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     import html as std
