@@ -65,11 +65,11 @@ def sse_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUESTIONS = ("我距离毕业还差多少学分", "推荐几门人工智能方向的课", "我的成绩怎么样", "下学期课表时间冲突吗", "考试在哪个考场", "学校的重修规定是什么", "hello AI", "选课要不冲突，机器学习", "那门课程呢", "machine learning papers")
 
 
-def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User messages, each with one of the fixed questions in front, so that every kind occurs."""
+def questions(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """User messages, each with one of the fixed questions in front, so that every kind occurs; their first 20 characters, as the SQL has them, or the whole."""
     c = table(spark, sf_dir, "conversations").where("role = 'user'")
     given = F.array(*map(F.lit, QUESTIONS))
-    return c.select("conv_id", "turn", F.concat(F.element_at(given, (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(QUESTIONS))) + 1).cast("int")), F.lit(" "), F.substring("text", 1, 20)).alias("q"))
+    return c.select("conv_id", "turn", F.concat(F.element_at(given, (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(QUESTIONS))) + 1).cast("int")), F.lit(" "), F.coalesce("text", F.lit("")) if whole else F.substring("text", 1, 20)).alias("q"))
 
 
 ASKED = "q AS (SELECT conv_id, turn, (" + repr(list(QUESTIONS)) + f")[(conv_id + turn) % {len(QUESTIONS)} + 1] || ' ' || substr(text, 1, 20) AS q FROM conversations WHERE role = 'user')"
@@ -96,7 +96,7 @@ def constraint_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def task_state_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State of every thread's task after its questions; an ordered fold, tested against a plain one."""
-    q = questions(spark, sf_dir).select(F.col("conv_id").alias("thread_id"), F.col("turn").alias("seq"), F.lit("user").alias("role"), F.col("q").alias("text"))
+    q = questions(spark, sf_dir, whole=True).select(F.col("conv_id").alias("thread_id"), F.col("turn").alias("seq"), F.lit("user").alias("role"), F.col("q").alias("text"))
     return conversations.fold_tasks(q).withColumn("constraints", F.array_join("constraints", ","))
 
 

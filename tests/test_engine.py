@@ -374,3 +374,12 @@ def test_plans(spark):
     assert "Filter" in top
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_task_state_fold_reads_whole_messages(spark, tmp_path):
+    from quarry.plans import state_queries
+
+    said = "x" * 30 + " 那门课程的完整的问题"
+    spark.createDataFrame([(1, 0, "user", said), (2, 0, "user", None)], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.thread_id: r.last_user_input for r in state_queries.task_state_fold(spark, str(tmp_path)).collect()}
+    assert got[1].endswith(said) and got[2].endswith(" ")
