@@ -56,10 +56,12 @@ class WordIds(dict):
     def __init__(self, file: str):
         super().__init__()
         self.whole = Tokenizer.from_file(file)
-        self.whole.encode_special_tokens = True  # such strings in a text are ordinary text
         with open(file, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
-        special = {x for x in vocabulary if x.startswith("<|")}
+            loaded = json.load(f)
+        vocabulary = loaded["model"]["vocab"]
+        special = {x["content"] for x in loaded["added_tokens"]}
+        #: Texts with one of these go to the library whole, in either case if it looks for it after lower-casing.
+        self.added = re.compile("|".join(map(re.escape, sorted(special))) or r"(?!)", re.I)
         byte_of, ranks = _byte_of(), {}
         for token, i in vocabulary.items():
             if token not in special:
@@ -78,7 +80,7 @@ class WordIds(dict):
 
     def ids(self, text: str) -> bytes:
         """All ids of a text as little-endian 32-bit numbers."""
-        if _SLOW.search(text):
+        if _SLOW.search(text) or self.added.search(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.__getitem__, text.lower().split()))
 
