@@ -6,10 +6,10 @@ labelling of a text maximises the sum of the words' scores less a penalty for ea
 
 from __future__ import annotations
 
-import bisect
 import math
 import re
 import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -20,19 +20,19 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import crc_of_id, map_text, prepare
 
-#: Training documents of each language, at most (about; a share is taken by hash of ids), and languages at most.
-TRAIN_DOCS, MOST_LANGUAGES = 1500, 200
+#: Training documents of each language, at most (about; a share is taken by hash of ids).
+TRAIN_DOCS = 1500
 #: n-gram orders of the word model, and what each gram counts before it is seen.
 ORDERS, PRIOR = (1, 2, 3, 4), 0.5
 #: What a change of language costs, in nats.
 SWITCH = 12.0
 #: Share of a language's training words that a script needs to count as one of its scripts.
 SCRIPT_SHARE = 0.02
+#: Characters of a word, at most. A longer run of letters is cut into consecutive words of one script each.
+WORD = 32
 CACHE_WORDS = 400_000
 UNKNOWN = "und"
 
-_WORD = re.compile(r"[^\W\d_]+")
-
 #: First code point, end and name of scripts. Fixed values.
 SCRIPTS = (
     (0x0041, 0x0250, "latin"), (0x0370, 0x0400, "greek"), (0x0400, 0x0530, "cyrillic"), (0x0530, 0x0590, "armenian"),
@@ -41,20 +41,47 @@ SCRIPTS = (
     (0x1E00, 0x1F00, "latin"), (0x1F00, 0x2000, "greek"), (0x3040, 0x3100, "kana"), (0x3400, 0xA000, "han"),
     (0xAC00, 0xD7B0, "hangul"), (0xF900, 0xFB00, "han"), (0x20000, 0x32000, "han"),
 )
-_STARTS = [s for s, _, _ in SCRIPTS]
+_NAMES = ["other", *dict.fromkeys(name for _, _, name in SCRIPTS)]
+#: Where the script of a code point changes, and the script from there on, as an index of _NAMES.
+_BORDERS = np.array([x for start, end, _ in SCRIPTS for x in (start, end)])
+_FROM = np.array([0, *(i for _, _, name in SCRIPTS for i in (_NAMES.index(name), 0))])
 
 
-def script_of(word: str) -> str:
-    """Script of a word's first letter that has one; ``other`` if none has."""
-    for c in word:
-        i = bisect.bisect_right(_STARTS, ord(c)) - 1
-        if i >= 0 and ord(c) < SCRIPTS[i][1]:
-            return SCRIPTS[i][2]
-    return "other"
+def scripts_of(codes: np.ndarray) -> np.ndarray:
+    """Index of the script of each code point in _NAMES; 0 for one of no listed script."""
+    return _FROM[np.searchsorted(_BORDERS, codes, "right")]
+
+
+def _class(codes: np.ndarray) -> str:
+    """Code points as the inside of a character class."""
+    cuts = np.flatnonzero(np.diff(codes) > 1)
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(codes[np.r_[0, cuts + 1]], codes[np.r_[cuts, len(codes) - 1]], strict=True))
+
+
+def _word_patterns() -> tuple[re.Pattern, re.Pattern, re.Pattern]:
+    """Words: letters of one script (Unicode's categories L), with the marks (M) that follow them.
+
+    The second pattern finds the same words in texts without a match of the third, in less time.
+    """
+    kinds = np.array([unicodedata.category(chr(c))[0] for c in range(sys.maxunicode + 1)])
+    marks = _class(np.flatnonzero(kinds == "M"))
+    letters = np.flatnonzero(kinds == "L")
+    script = scripts_of(letters)
+    latin = _class(letters[letters < 0x250])
+    return re.compile("|".join(f"[{x}][{x}{marks}]{{0,{WORD - 1}}}" for i in sorted(set(script.tolist())) for x in [_class(letters[script == i])])), re.compile(f"[{latin}]{{1,{WORD}}}"), re.compile("[^\0-\u024f\u2000-\u206f]")
+
+
+_WORD, _LATIN_WORD, _FURTHER = _word_patterns()
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Words of the lower-cased text; every letter is in one."""
+    text = text.lower()
+    return (_WORD if _FURTHER.search(text) else _LATIN_WORD).findall(text)
+
+
+def script_of(word: str) -> str:
+    return _NAMES[int(scripts_of(np.array([ord(word[0])]))[0])]
 
 
 def grams_of(word: str) -> list[str]:
@@ -62,6 +89,55 @@ def grams_of(word: str) -> list[str]:
     return [padded[i : i + n] for n in ORDERS for i in range(len(padded) - n + 1)]
 
 
+_STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _gram_hashes(codes: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the n code points from each place on."""
+    size = max(0, len(codes) - n + 1)
+    h = np.full(size, n, np.uint64)
+    for j in range(n):
+        h = (h * _STEP) + codes[j : j + size]
+    h = (h ^ (h >> np.uint64(31))) * _MIX
+    return h ^ (h >> np.uint64(29))
+
+
+class GramTable:
+    """Rows of grams by hash: buckets by the first bits, each with a few hashes."""
+
+    def __init__(self, grams: list[str]):
+        by_order: dict[int, list[int]] = {}
+        for i, g in enumerate(grams):
+            by_order.setdefault(len(g), []).append(i)
+        hashes, rows = np.zeros(len(grams), np.uint64), np.zeros(len(grams), np.int32)
+        at = 0
+        for n, some in by_order.items():
+            codes = np.frombuffer("".join(grams[i] for i in some).encode("utf-32-le"), np.uint32).astype(np.uint64)
+            hashes[at : at + len(some)] = _gram_hashes(codes, n)[::n]
+            rows[at : at + len(some)] = np.array(some) + 1
+            at += len(some)
+        self.bits = np.uint64(64 - max(4, int(8 * max(1, len(grams))).bit_length()))
+        order = np.argsort(hashes)
+        bucket = hashes[order] >> self.bits
+        self.first = np.searchsorted(bucket, np.arange((1 << int(64 - self.bits)) + 1, dtype=np.uint64)).astype(np.int32)
+        self.deepest = int(np.diff(self.first).max(initial=0))
+        self.hashes, self.rows = np.append(hashes[order], np.zeros(self.deepest + 1, np.uint64)), np.append(rows[order], np.zeros(self.deepest + 1, np.int32))
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Row of each hash, 0 if no gram has it."""
+        bucket = (hashes >> self.bits).astype(np.int64)
+        at, end = self.first[bucket], self.first[bucket + 1]
+        out = np.where((self.hashes[at] == hashes) & (at < end), self.rows[at], 0)
+        left = np.flatnonzero((out == 0) & (end - at > 1))
+        for d in range(1, self.deepest):
+            if not len(left):
+                break
+            here = at[left] + d
+            out[left] = np.where((self.hashes[here] == hashes[left]) & (here < end[left]), self.rows[here], 0)
+            left = left[(out[left] == 0) & (end[left] - at[left] > d + 1)]
+        return out
+
+
 class Model:
     """Gram scores by language; ``scripts`` lists each language's scripts."""
 
@@ -72,10 +148,10 @@ class Model:
         self._open()
 
     def _open(self) -> None:
-        self._row_of_gram = {g: i + 1 for i, g in enumerate(self.grams)}
+        self._table_of_grams = GramTable(self.grams)
         self._rows: dict[str, int] = {}
         self._table = np.zeros((0, len(self.languages) + 1), np.float32)
-        self._may: dict[str, np.ndarray] = {}
+        self._may = np.array([[name in s for s in self.scripts] for name in _NAMES]).reshape(len(_NAMES), -1)
 
     def __getstate__(self) -> dict:
         return {"languages": self.languages, "scripts": self.scripts, "grams": self.grams, "scores": self.scores}
@@ -93,19 +169,18 @@ class Model:
         out = np.zeros((len(words), k + 1), np.float32)
         if not words or not k:
             return out
-        row, flat, begin, may = self._row_of_gram.get, [], [], []
-        for w in words:
-            begin.append(len(flat))
-            padded = f"^{w[:64]}$"  # a longer run of letters is no word of any language; its start decides
-            n = len(padded)
-            flat += [row(padded[i : i + size], 0) for size in ORDERS for i in range(n - size + 1)]
-            script = script_of(w)
-            if script not in self._may:
-                self._may[script] = np.array([script in s for s in self.scripts])
-            may.append(self._may[script])
-        allowed = np.array(may)
+        codes = np.frombuffer(f"^{'$^'.join(words)}$".encode("utf-32-le"), np.uint32).astype(np.uint64)
+        end = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 2)
+        begin = np.r_[0, end[:-1]]
+        at_place = np.zeros((len(codes), k), np.float32)
+        for n in ORDERS:
+            row = self._table_of_grams.find(_gram_hashes(codes, n))
+            for back in range(1, n):  # grams that would run over the word's end
+                row[np.minimum(end - back, len(row) - 1)[end - back < len(row)]] = 0
+            at_place[: len(row)] += self.scores[row]
+        total = np.add.reduceat(at_place, begin, axis=0) / len(ORDERS)
+        allowed = self._may[scripts_of(codes[begin + 1])]
         some = allowed.any(axis=1)
-        total = np.add.reduceat(self.scores[flat], begin, axis=0) / len(ORDERS)
         total = np.where(allowed, total, -np.inf)
         total[some] -= total[some].max(axis=1, keepdims=True)
         # one odd word must not decide a text
@@ -196,11 +271,12 @@ def label(scores: np.ndarray) -> list[tuple[int, int, int]]:
 def training_rows(docs: DataFrame) -> DataFrame:
     """(lang, text) of about TRAIN_DOCS documents of each language, outside the held-out quarter, by hash of ids."""
     known = docs.where("lang is not null and text is not null and doc_id is not null").where(crc_of_id() % 4 != 2)
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
-    share = F.lit(0)
-    for r in counts:
-        share = F.when(F.col("lang") == r.lang, math.ceil(1e6 * min(1.0, TRAIN_DOCS / r.n))).otherwise(share)
-    return known.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(3)), F.lit(1_000_000)) < share).select("lang", "text")
+    # one count for each language: as many as the model has columns, so the driver and all workers hold them anyway
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    shares = [(r.lang, math.ceil(1e6 * min(1.0, TRAIN_DOCS / r.n))) for r in counts.toLocalIterator()]
+    share = docs.sparkSession.createDataFrame(shares, "lang string, __share int")
+    taken = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(3)), F.lit(1_000_000)) < F.col("__share")
+    return known.select("doc_id", "lang", "text").join(F.broadcast(share), "lang").where(taken).select("lang", "text")
 
 
 def fit(docs: DataFrame) -> Model:
@@ -216,9 +292,8 @@ def fit(docs: DataFrame) -> Model:
         for lang, words in found.items():
             grams: Counter = Counter()
             for w, n in words.items():
-                if len(w) <= 64:
-                    for g in grams_of(w):
-                        grams["g" + g] += n
+                for g in grams_of(w):
+                    grams["g" + g] += n
                 grams["s" + script_of(w)] += n
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(list(grams)), pa.array(list(grams.values()), pa.int64())], names=["lang", "gram", "n"])
 
@@ -252,8 +327,11 @@ def build(counts: list[tuple[str, str, int]]) -> Model:
 def identify(docs: DataFrame, model: Model, with_spans: bool = False) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document (and spans of words on request).
 
-    ``und`` with score 0 if the text is null or has no letter. A text in a script of no learned language
-    gets some learned language with score 0. Each row is judged by its text alone.
+    ``und`` with score 0 if the text is null or has no letter (Unicode's categories L). A text in a script of
+    no learned language gets some learned language with score 0. Each row is judged by its whole text alone,
+    so repeated rows get the same result each and columns beside doc_id and text do no harm; a null doc_id
+    counts as empty text for the held-out rule. Long runs of letters without spaces are cut into words of
+    at most ``WORD`` characters, all of which are scored. An empty table gives no rows.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -224,13 +224,52 @@ def test_language_id(spark, real):
     assert langid.keep_known(docs(spark, AWKWARD + [en]), model).count() >= 1
 
 
+def test_unspaced_texts_are_read_whole():
+    counts = [(lang, kind + x, n) for lang, letters in (("ja", "日本語です"), ("zh", "我们是中文")) for x in [*letters, *map("".join, zip(letters, letters[1:], strict=False))] for kind, n in (("g", 9),)]
+    counts += [("ja", "shan", 60), ("ja", "skana", 40), ("zh", "shan", 100)]
+    model = langid.build(counts)
+    assert model.identify("日" * 64 + "我" * 2000)[0] == "zh" and model.identify("我" * 64 + "日" * 2000)[0] == "ja"
+    assert [model.languages[k] for _, _, k in model.spans("我们是中文" * 80 + "日本語です" * 80)] == ["zh", "ja"]
+    assert "".join(langid.words_of("ab" * 500 + "日本語です" * 99 + "ЖЖ")) == "ab" * 500 + "日本語です" * 99 + "жж"
+    assert all(model.identify(x) == ("und", 0.0) for x in ("²³", "Ⅷ ½", "12 _ -", None, ""))
+
+
+@given(st.text(st.sampled_from("abzÀßœĿŒdž9²Ⅷ_-'“éª\n я日です"), max_size=90))
+def test_words_hold_every_letter(text):
+    import unicodedata
+
+    low = text.lower()
+    assert "".join(langid.words_of(text)) == "".join(c for c in low if unicodedata.category(c)[0] == "L" or c == "\u0307" and "i̇" in low)
+
+
+@given(st.lists(st.text("abcé", min_size=1, max_size=6), min_size=1, max_size=20), st.text("abcdé", min_size=1, max_size=40))
+def test_word_scores_equal_sums_over_grams(words, word):
+    grams = sorted({g for w in words for g in langid.grams_of(w)})
+    scores = np.random.default_rng(len(grams)).normal(size=(len(grams), 3))
+    model = langid.Model(["x", "y", "z"], [frozenset({"latin"})] * 3, grams, scores)
+    row = {g: s for g, s in zip(grams, scores, strict=True)}
+    want = sum((row.get(g, np.zeros(3)) for g in langid.grams_of(word)), np.zeros(3)) / len(langid.ORDERS)
+    got = model.word_scores([word, *words])
+    assert np.allclose(got[0, :3], np.maximum(want - want.max(), -langid.SWITCH), atol=1e-4) and (got[:, 3] == 1).all()
+
+
+def test_more_languages_than_a_few_hundred(spark):
+    letters = [chr(0x4E00 + i) for i in range(700)]
+    d = spark.createDataFrame([(2 * i, letters[i // 2] * 30, f"l{i // 2:03}", 1) for i in range(600)], "doc_id long, text string, lang string, __other int")
+    model = langid.fit(d)
+    learned = {r.lang for r in d.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2).select("lang").distinct().collect()}
+    assert set(model.languages) == learned and len(learned) > 250
+    got = langid.identify(d.unionAll(d), model).join(d.select("doc_id", "lang"), "doc_id").collect()
+    assert len(got) == 1200 and all(r.lang_pred == r.lang for r in got if r.lang in learned)
+
+
 # --- 4 packing ---------------------------------------------------------------------------------
 
 
 def test_packing_round_trip(spark, real):
-    texts = AWKWARD + [r.text for r in real.collect()]
+    texts = AWKWARD + ["a <|endoftext|> b", "A<|startoftext|>b <|ENDOFTEXT|>", "a <|end oftext|>"] + [r.text for r in real.collect()]
     whole = Tokenizer.from_file(TOKENIZER)
-    whole.encode_special_tokens = True
+    assert whole.encode("a <|endoftext|> b", add_special_tokens=False).ids == [320, 49407, 321]
     rows = packing.pack(docs(spark, texts), TOKENIZER, with_ids=True).collect()
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -250,6 +289,8 @@ def test_packing_round_trip(spark, real):
         assert at <= 4096
     assert len(by_sequence) <= 1.02 * sum(r.length for r in rows) / 4096 + 1
     assert packing.pack(docs(spark, []), TOKENIZER).count() == 0
+    same = packing.pack(docs(spark, ["one two"] * 4, [3, 3, None, None]), TOKENIZER).collect()
+    assert Counter(r.doc_id for r in same) == {3: 2, None: 2} and len({(r.sequence_id, r.offset) for r in same}) == 4
 
 
 def plain_best_fit(lengths, capacity):
