@@ -1,33 +1,38 @@
 """Benchmark decontamination by winnowing (Schleimer, Wilkerson and Aiken, 2003).
 
-Texts become words; every run of ``K`` words has a hash; of every ``SPAN - K + 1`` consecutive hashes the
-least is kept. Two texts that share ``SPAN`` consecutive words share such a minimum, so joining minima of
-documents and of benchmark items misses no shared span. Each hit is then extended to the whole shared
-run and compared word by word, so hash collisions never count.
+Texts become words; every run of ``K`` words has a hash, and of every ``SPAN - K + 1`` consecutive hashes the
+least is a fingerprint. Two texts that share ``SPAN`` consecutive words share such a fingerprint, so joining the
+fingerprints of documents and of benchmark items on the hash misses no shared span. Each hit is then extended
+word by word to the left and to the right, so equal hashes of different words never count.
+
+A fingerprint carries the words that stand around it as far as a span can reach; no text travels. Documents are
+read once, whatever the size of the benchmark: a bit table of at most ``MOST_BITS`` bits, the only thing that is
+sent to all workers unmeasured, keeps those fingerprints at home that no item has.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Words, map_text, prepare, text_slices
+from quarry.llm.common import Words, map_text, materialise, text_slices
 
 SPAN = 10
 K = 5
-#: Benchmark text that one pass holds in each worker. A larger benchmark is taken in several passes.
-BLOCK_BYTES = 16 << 20
+#: Bits of the table of benchmark fingerprints, for each fingerprint and at most (32 MB).
+BITS_EACH, MOST_BITS = 64, 1 << 28
+#: Bytes of benchmark fingerprints and of keys of contaminated documents that are sent to all workers; more are joined.
+SENT_BYTES = 32 << 20
+#: Fingerprints of a document in one row; a document with more has several rows.
+ROW_PRINTS = 4096
 
 _M1, _M2, _BASE = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), 0x9E3779B97F4A7C15
 _INVERSE = np.uint64(pow(_BASE, -1, 1 << 64))
-_WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -45,7 +50,7 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return out
 
 
-class _Hasher:
+class Hasher:
     """Hashes of words and of word runs of a slice; keeps its tables of powers between slices."""
 
     def __init__(self) -> None:
@@ -60,215 +65,227 @@ class _Hasher:
         return _mix((total[w.end] - total[w.start]) * self.down[w.start] + (w.end - w.start).astype(np.uint64))
 
     @staticmethod
-    def runs(words: np.ndarray, k: int) -> np.ndarray:
-        """Hash of the k words from each word on (shorter by k - 1)."""
+    def runs(words: np.ndarray, k: int, span: int) -> np.ndarray:
+        """Hash of the k words from each word on (shorter by k - 1), different for each span."""
         n = max(0, len(words) - k + 1)
-        out = np.zeros(n, np.uint64)
+        out = np.full(n, span, np.uint64)
         for j in range(k):
             out = _mix(out + words[j : j + n] + np.uint64(j + 1))
         return out
 
 
-def least_of(hashes: np.ndarray, window: int) -> np.ndarray:
-    """Least hash of every ``window`` consecutive ones."""
-    n = max(0, len(hashes) - window + 1)
-    out = hashes[:n].copy()
-    for j in range(1, window):
-        np.minimum(out, hashes[j : j + n], out=out)
-    return out
+class Bits:
+    """A table of bits that says which hashes may be those of benchmark fingerprints."""
+
+    def __init__(self, bits: int, slots: np.ndarray, values: np.ndarray):
+        self.mask = np.uint64(bits - 1)
+        self.table = np.zeros(bits // 64, np.int64)
+        self.table[slots] = values
+        self.table = self.table.view(np.uint8)
 
+    def may(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes & self.mask
+        return (self.table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 != 0
 
-class Fingerprints:
-    """The benchmark side of a pass: by span length, sorted minima and the windows they stand for."""
-
-    def __init__(self, items: list[tuple[str, bytes]]):
-        hasher = _Hasher()
-        #: span length -> {window as joined words: item ids}
-        self.windows: dict[int, dict[bytes, set[str]]] = defaultdict(lambda: defaultdict(set))
-        minima: dict[int, set[int]] = defaultdict(set)
-        for item, text in items:
-            raw = np.frombuffer(text, np.uint8)
-            w = Words(np.array([0, len(raw)]), raw)
-            n = len(w.start)
-            if not n:
-                continue
-            span = min(n, SPAN)
-            low = w.text.tobytes()
-            words = [low[a:b] for a, b in zip(w.start.tolist(), w.end.tolist(), strict=True)]
-            for i in range(n - span + 1):
-                self.windows[span][b" ".join(words[i : i + span])].add(item)
-            k = min(K, span)
-            minima[span].update(least_of(hasher.runs(hasher.words(w), k), span - k + 1).tolist())
-        self.minima = {s: np.array(sorted(x), np.uint64) for s, x in minima.items()}
-        #: A table over 16 low bits that rules out most hashes before the binary search.
-        self.maybe = {}
-        for s, x in self.minima.items():
-            self.maybe[s] = np.zeros(1 << 16, bool)
-            self.maybe[s][(x & np.uint64(0xFFFF)).astype(np.int64)] = True
-        self.windows = {s: dict(x) for s, x in self.windows.items()}
-
-    def hits(self, w: Words, hasher: _Hasher) -> Iterator[tuple[int, int, int, set[str]]]:
-        """(text of the slice, first word within it, span, items) of every window that stands there."""
-        hashed = hasher.words(w)
-        for span, wanted in self.minima.items():
-            k = min(K, span)
-            least = least_of(hasher.runs(hashed, k), span - k + 1)
-            at = np.flatnonzero(self.maybe[span][(least & np.uint64(0xFFFF)).astype(np.int64)])
-            found = np.searchsorted(wanted, least[at])
-            at = at[wanted[np.minimum(found, len(wanted) - 1)] == least[at]]
-            doc = np.searchsorted(w.first, at, "right") - 1
-            inside = at + span <= w.first[doc + 1]
-            table = self.windows[span]
-            for i, d in zip(at[inside].tolist(), doc[inside].tolist(), strict=True):
-                low = w.text[w.start[i] : w.end[i + span - 1]].tobytes()
-                if items := table.get(b" ".join(_WORD.findall(low))):
-                    yield d, i - int(w.first[d]), span, items
-
-
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
-    """The benchmark in parts of about ``block_bytes`` text, each small enough for driver and workers."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text")).where("item is not null and text is not null")
-    total = items.agg(F.sum(F.octet_length("text") + 64).alias("n")).first().n or 0
-    blocks = -(-total // block_bytes)
-    for i in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == i) if blocks > 1 else items
-        yield [(r.item, bytes(r.text)) for r in part.toLocalIterator()]
-
-
-def _pass(docs: DataFrame, prints, digest: bool) -> DataFrame:
-    """One pass over the documents with one part of the benchmark in each worker."""
+
+def winnow(w: Words, hashed: np.ndarray, span: int, bits: Bits | None = None, whole: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first word, hash) of the fingerprints of a slice for windows of ``span`` words.
+
+    A fingerprint is a run of words whose hash is the least of a window within its text. With ``bits`` only
+    those that may be the benchmark's are looked at; with ``whole`` only texts of just ``span`` words are,
+    if that is less than SPAN.
+    """
+    k = min(K, span)
+    hashes = Hasher.runs(hashed, k, span)
+    at = np.arange(len(hashes)) if bits is None else np.flatnonzero(bits.may(hashes))
+    text = np.searchsorted(w.first, at, "right") - 1
+    begin, end = w.first[text], w.first[text + 1]
+    ok = (at + k <= end) & (end - begin >= span)
+    if whole and span < SPAN:
+        ok &= end - begin == span
+    at, text, begin, end = at[ok], text[ok], begin[ok], end[ok]
+    size = span - k + 1
+    chosen = np.zeros(len(at), bool)
+    for back in range(size):
+        start = at - back
+        inside = (start >= begin) & (start + span <= end)
+        least = hashes[np.where(inside, start, 0)] if len(hashes) else hashes
+        for j in range(1, size):
+            least = np.minimum(least, hashes[np.where(inside, start + j, 0)])
+        chosen |= inside & (least == hashes[at])
+    return text[chosen], at[chosen], hashes[at[chosen]]
+
+
+_PRINT = pa.struct([("hash", pa.int64()), ("span", pa.int32()), ("at", pa.int64()), ("left", pa.int32()), ("context", pa.string())])
+
+
+def prints_of(w: Words, text: np.ndarray, at: np.ndarray, hashes: np.ndarray, span: int) -> Iterator[tuple[int, dict]]:
+    """Fingerprints with their place in the text, the words around as far as a span reaches, and how many of them stand before."""
+    k = min(K, span)
+    reach = span - k
+    for d, i, h in zip(text.tolist(), at.tolist(), hashes.view(np.int64).tolist(), strict=True):
+        first, end = int(w.first[d]), int(w.first[d + 1])
+        a, b = max(first, i - reach), min(end, i + k + reach)
+        words = [w.text[x:y].tobytes() for x, y in zip(w.start[a:b].tolist(), w.end[a:b].tolist(), strict=True)]
+        yield d, {"hash": h, "span": span, "at": i - first, "left": i - a, "context": b" ".join(words).decode("utf-8", "replace")}
+
+
+def extended(span: int, left: int, context: str, item_left: int, item_context: str) -> tuple[int, int] | None:
+    """Words before and after a common fingerprint that agree too; None if its own words differ or the run is too short."""
+    k = min(K, span)
+    mine, theirs = context.split(" "), item_context.split(" ")
+    if mine[left : left + k] != theirs[item_left : item_left + k]:
+        return None
+    before = 0
+    while before < min(left, item_left) and mine[left - before - 1] == theirs[item_left - before - 1]:
+        before += 1
+    after, most = 0, min(len(mine) - left, len(theirs) - item_left) - k
+    while after < most and mine[left + k + after] == theirs[item_left + k + after]:
+        after += 1
+    return (before, after) if before + k + after >= span else None
+
+
+def benchmark_prints(benchmark: DataFrame) -> DataFrame:
+    """Fingerprints of the benchmark: item (item_id as text), hash, span, left, context. Items without id or words have none."""
+    rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine, hasher = prints.value, _Hasher()
+        hasher = Hasher()
         for b in batches:
-            ids, col = b.column(0), b.column(1)
-            words, hit, runs, items = [], [], [], []
-            for first, end, offsets, raw in text_slices(col):
+            for first, _, offsets, raw in text_slices(b.column(1)):
                 w = Words(offsets, raw)
-                spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
-                who: dict[int, set[str]] = defaultdict(set)
-                for d, at, span, found in mine.hits(w, hasher):
-                    spans[d].append((at, at + span))
-                    who[d] |= found
-                words += w.counts().tolist()
-                for d in range(end - first):
-                    merged = merge(spans[d]) if d in spans else []
-                    runs.append(merged)
-                    hit.append(sum(y - x for x, y in merged))
-                    items.append(sorted(who[d]) if d in who else [])
-            if digest:
-                yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(words, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items])],
-                    names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256"],
-                )
-            else:
-                kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
-                yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(words, pa.int64()), pa.array([[{"first": x, "end": y} for x, y in r] for r in runs], kind), pa.array(items, pa.list_(pa.string()))],
-                    names=["doc_id", "n_words", "runs", "items"],
-                )
-
-    schema = "doc_id {}, n_words long, n_hit long, n_items long, items_sha256 string" if digest else "doc_id {}, n_words long, runs array<struct<first:long,end:long>>, items array<string>"
-    return map_text(docs, run, schema.format(docs.schema[0].dataType.simpleString()))
-
-
-def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Union of half-open spans."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], b))
-        else:
-            out.append((a, b))
-    return out
+                hashed = hasher.words(w)
+                for span in range(1, SPAN + 1):
+                    found = list(prints_of(w, *winnow(w, hashed, span, whole=True), span))
+                    if found:
+                        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([first + d for d, _ in found])), *(pa.array([p[f] for _, p in found], _PRINT.field(f).type) for f in ("hash", "span", "left", "context"))], names=["item", "hash", "span", "left", "context"])
+
+    return map_text(rows, run, "item string, hash long, span int, left int, context string").distinct()
 
 
-def spans(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Shared runs of every document: doc_id, n_words, runs (first word, end word) and items.
+def bits_of(prints: DataFrame) -> tuple[Bits, list[int], int]:
+    """The bit table of benchmark fingerprints, their spans (10 at most), and the bytes that they all take."""
+    size = prints.agg(F.count("*").alias("n"), F.sum(F.octet_length("context") + F.octet_length("item") + 64).alias("bytes"), F.collect_set("span").alias("spans")).first()
+    bits = min(MOST_BITS, max(1 << 16, 1 << (BITS_EACH * size.n).bit_length()))
+    low = F.col("hash").bitwiseAND(F.lit(bits - 1))
+    slots = prints.select(F.shiftright(low, 6).alias("slot"), F.expr("shiftleft(1L, cast(hash & 63 as int))").alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
+    table = slots.toPandas()  # as many rows as the table has words, at most
+    return Bits(bits, table["slot"].to_numpy(np.int64), table["bits"].to_numpy(np.int64)), sorted(size.spans), int(size.bytes or 0)
 
-    Several passes give several rows for a document, one for each part of the benchmark.
+
+def document_prints(docs: DataFrame, bits: Bits, spans: list[int]) -> DataFrame:
+    """One pass over the documents: row (a number of each row), key, n_words and prints that the benchmark may have.
+
+    ``docs`` has key and text. A document with more than ROW_PRINTS such fingerprints has further rows with
+    the same number, whose n_words is null.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
+    kind = docs.schema["key"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine, hasher = sent.value, Hasher()
+        number = TaskContext.get().partitionId() << 40
+        for b in batches:
+            taken, rows, words, prints = [], [], [], []
+            for first, end, offsets, raw in text_slices(b.column(1)):
+                w = Words(offsets, raw)
+                hashed = hasher.words(w)
+                found: dict[int, list[dict]] = {}
+                for span in spans:
+                    for d, p in prints_of(w, *winnow(w, hashed, span, mine), span):
+                        found.setdefault(d, []).append(p)
+                for d, n in enumerate(w.counts().tolist()):
+                    own = found.get(d, [])
+                    for i in range(0, max(1, len(own)), ROW_PRINTS):
+                        taken.append(first + d)
+                        rows.append(number + first + d)
+                        words.append(None if i else n)
+                        prints.append(own[i : i + ROW_PRINTS])
+            number += b.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), b.column(0).take(pa.array(taken, pa.int64())), pa.array(words, pa.int64()), pa.array(prints, pa.list_(_PRINT))], names=["row", "key", "n_words", "prints"])
+
+    return map_text(docs.select("key", "text"), run, f"row long, key {kind}, n_words long, prints array<struct<hash:long,span:int,at:long,left:int,context:string>>")
+
+
+def hits(base: DataFrame, prints: DataFrame, small: bool) -> DataFrame:
+    """(row, item, first, end) of shared runs of words: fingerprints joined on the hash, extended and verified.
+
+    A passage that many documents share gives one hash many rows on the documents' side; a small benchmark
+    is sent to them, with a larger one adaptive execution splits such a key.
     """
-    sc = docs.sparkSession.sparkContext
-    prepare(docs.sparkSession)
-    slim = docs.select("doc_id", "text")
-    out = None
-    for items in _blocks(benchmark, block_bytes):
-        part = _pass(slim, sc.broadcast(Fingerprints(items)), digest=False)
-        out = part if out is None else out.unionAll(part)
-    return _pass(slim, sc.broadcast(Fingerprints([])), digest=False) if out is None else out
+    mine = base.where(F.size("prints") > 0).select("row", F.explode("prints").alias("p")).select("row", "p.at", "p.left", "p.context", "p.hash", "p.span")
+    theirs = prints.select("hash", "span", "item", F.col("left").alias("item_left"), F.col("context").alias("item_context"))
+    met = mine.join(F.broadcast(theirs) if small else theirs, ["hash", "span"]).select("row", "item", "at", "span", "left", "context", "item_left", "item_context")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            taken, first, end = [], [], []
+            columns = [b.column(i).to_pylist() for i in range(2, 8)]
+            for i, (at, span, *contexts) in enumerate(zip(*columns, strict=True)):
+                if reach := extended(span, *contexts):
+                    taken.append(i)
+                    first.append(at - reach[0])
+                    end.append(at + min(K, span) + reach[1])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(taken, pa.int64())), b.column(1).take(pa.array(taken, pa.int64())), pa.array(first, pa.int64()), pa.array(end, pa.int64())], names=["row", "item", "first", "end"])
+
+    return map_text(met, run, "row long, item string, first long, end long")
+
+
+def merged(runs: DataFrame, by: list[str]) -> DataFrame:
+    """Union of half-open runs (first, end) within each group, by a window whose state is one number."""
+    order = Window.partitionBy(*by).orderBy("first", "end")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = runs.withColumn("fresh", F.coalesce((F.col("first") > before).cast("int"), F.lit(1)))
+    return fresh.withColumn("part", F.sum("fresh").over(order)).groupBy(*by, "part").agg(F.min("first").alias("first"), F.max("end").alias("end")).drop("part")
 
 
-def measure(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _searched(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The documents' rows with their numbers, and the hits in them. ``docs`` has key and text."""
+    prints = materialise(benchmark_prints(benchmark))
+    bits, spans, size = bits_of(prints)
+    base = materialise(document_prints(docs, bits, spans))
+    return base, hits(base, prints, size <= SENT_BYTES)
+
+
+def spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Shared runs: doc_id, item_id (as text), first word and end word, for every document and item that share one."""
+    base, found = _searched(docs.select(F.col("doc_id").alias("key"), "text"), benchmark)
+    return merged(found, ["row", "item"]).join(base.where("n_words is not null").select("row", "key"), "row").select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"), "first", "end")
+
+
+def measure(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
-    Null texts and items have no words; an item of fewer than 10 words, but not none, is one window;
-    repeated rows are measured each; an empty benchmark contaminates nothing. A benchmark within
-    ``block_bytes`` takes one pass without a shuffle. A larger one takes a pass for each part, and the
-    parts of a document meet in a shuffle of its runs and items alone (rows without a hit are only
-    counts); rows that agree in id and text are told apart by their number alone.
+    Null texts and items have no words; items without an id are left out; an item of fewer than 10 words, but
+    not none, is one window; repeated rows are measured each; an empty benchmark contaminates nothing, an
+    empty table of documents gives no rows; further columns are not read. Ids of either table may be of any type.
+    Only rows with a hit are shuffled, with their runs and items.
     """
-    sc = docs.sparkSession.sparkContext
-    prepare(docs.sparkSession)
-    parts = _blocks(benchmark, block_bytes)
-    first = next(parts, [])
-    second = next(parts, None)
-    if second is None:
-        out = _pass(docs.select("doc_id", "text"), sc.broadcast(Fingerprints(first)), digest=True)
-    else:
-        keyed = docs.select(F.struct("doc_id", F.xxhash64("text").alias("t")).alias("key"), "text")
-
-        def rest() -> Iterator[list[tuple[str, bytes]]]:
-            yield first
-            yield second
-            yield from parts
-
-        every, passes = None, 0
-        for items in rest():
-            passes += 1
-            one = _pass_keyed(keyed, sc.broadcast(Fingerprints(items)))
-            every = one if every is None else every.unionAll(one)
-        out = _joined(every, passes)
-    return out.withColumn("contaminated", F.col("n_hit") > 0)
-
-
-def _pass_keyed(keyed: DataFrame, prints) -> DataFrame:
-    flat = keyed.select(F.to_json("key", {"ignoreNullFields": "false"}).alias("doc_id"), "text")
-    return _pass(flat, prints, digest=False)
-
-
-def _joined(every: DataFrame, passes: int) -> DataFrame:
-    """Bring the passes of each document together. Runs of one document are as many as its words at most."""
-    grouped = every.groupBy("doc_id").agg((F.count("*") / passes).cast("int").alias("copies"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    sorted_ = F.array_sort("runs")
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to"))
-    n_hit = F.aggregate(sorted_, start, lambda acc, x: F.struct((acc["n"] + F.greatest(F.lit(0).cast("long"), x["end"] - F.greatest(x["first"], acc["to"]))).alias("n"), F.greatest(acc["to"], x["end"]).alias("to")), lambda acc: acc["n"])
-    return grouped.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(
-        F.get_json_object("doc_id", "$.doc_id").cast("long").alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256")
-    )
+    base, found = _searched(docs.select(F.col("doc_id").alias("key"), "text"), benchmark)
+    found = materialise(found)
+    covered = merged(found, ["row"]).groupBy("row").agg(F.sum(F.col("end") - F.col("first")).alias("n_hit"))
+    # as many items as the benchmark has, at most: the result holds a hash of their list
+    who = found.select("row", "item").distinct().groupBy("row").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    some = covered.join(who, "row").select("row", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    rows = base.where("n_words is not null")
+    zero = F.lit(0).cast("long")
+    none = (("n_hit", zero), ("n_items", zero), ("items_sha256", F.sha2(F.lit("").cast("binary"), 256)))
+    clear = rows.where(F.size("prints") == 0).select("key", "n_words", *(value.alias(name) for name, value in none))
+    maybe = rows.where(F.size("prints") > 0).select("row", "key", "n_words").join(some, "row", "left")
+    maybe = maybe.select("key", "n_words", *(F.coalesce(name, value).alias(name) for name, value in none))
+    return clear.unionByName(maybe).withColumnRenamed("key", "doc_id").withColumn("contaminated", F.col("n_hit") > 0)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, all their columns, that share no window with the benchmark.
 
-    One pass marks the rows in place, so repeated ids and extra columns do no harm. A larger benchmark
-    filters part by part.
+    Rows are told apart by their texts alone, so null or repeated ids and extra columns do no harm. Only
+    keys of contaminated texts travel: up to SENT_BYTES of them go to all workers and the documents are
+    filtered where they stand; with more, the documents are joined with them.
     """
-    sc = docs.sparkSession.sparkContext
-    prepare(docs.sparkSession)
-    out = docs
-    at = docs.columns.index("text")
-    for items in _blocks(benchmark, BLOCK_BYTES):
-        prints = sc.broadcast(Fingerprints(items))
-
-        def run(batches: Iterator[pa.RecordBatch], prints=prints) -> Iterator[pa.RecordBatch]:
-            mine, hasher = prints.value, _Hasher()
-            for b in batches:
-                keep = np.ones(b.num_rows, bool)
-                for first, _, offsets, raw in text_slices(b.column(at)):
-                    for d, *_ in mine.hits(Words(offsets, raw), hasher):
-                        keep[first + d] = False
-                yield b.filter(pa.array(keep))
-
-        out = map_text(out, run, out.schema)
-    return out
-
+    key = F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(SPAN), "text").alias("b"))
+    base, found = _searched(docs.select(key.alias("key"), "text"), benchmark)
+    bad = materialise(base.where("n_words is not null").join(found.select("row").distinct(), "row", "left_semi").select("key.a", "key.b").distinct())
+    few = 16 * bad.count() <= SENT_BYTES
+    met = (F.xxhash64(docs["text"]) == bad["a"]) & (F.xxhash64(F.lit(SPAN), docs["text"]) == bad["b"])
+    return docs.join(F.broadcast(bad) if few else bad, met, "left_anti")

@@ -378,7 +378,7 @@ def plain_hits(text, items):
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
 
 
-def test_decontamination_equals_plain_version(spark, real):
+def test_decontamination_equals_plain_version(spark, real, monkeypatch):
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").limit(12).collect()]
     bench += [(900, None), (901, ""), (902, "A, b. C"), (903, "word"), (904, "a b c d e f g h i j k l"), (11, "k l m n o p q r s t u v w")]
     some = words_of(bench[0][1])
@@ -387,25 +387,39 @@ def test_decontamination_equals_plain_version(spark, real):
     b = spark.createDataFrame(bench, "item_id long, text string").withColumn("doc_id", F.lit(1))
     want = {i: plain_hits(t, bench) for i, t in enumerate(texts)}
     assert sum(x[4] for x in want.values()) > 8
-    for bytes_ in (decontam.BLOCK_BYTES, 400):
-        got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontam.measure(d, b, bytes_).collect()}
+    for sent in (decontam.SENT_BYTES, 0):
+        monkeypatch.setattr(decontam, "SENT_BYTES", sent)
+        monkeypatch.setattr(decontam, "ROW_PRINTS", 4096 if sent else 2)
+        got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontam.measure(d, b).collect()}
         assert got == want
-    assert {r.doc_id for r in decontam.clean(d, b).collect()} == {i for i, x in want.items() if not x[4]}
-    assert decontam.measure(d, b.limit(0)).where("contaminated").count() == 0
-    assert decontam.measure(d.limit(0), b).count() == 0
+        assert {r.doc_id for r in decontam.clean(d, b).collect()} == {i for i, x in want.items() if not x[4]}
+    assert decontam.measure(d, b.limit(0)).where("contaminated").count() == 0 and decontam.clean(d, b.limit(0)).count() == len(texts)
+    assert decontam.measure(d.limit(0), b).count() == 0 and decontam.clean(d.limit(0), b).count() == 0
     twice = docs(spark, [texts[-1]] * 3, [1, 1, None])
-    assert decontam.measure(twice, b).count() == decontam.measure(twice, b, 400).count() == 3
+    assert decontam.measure(twice, b).count() == 3 and decontam.clean(twice, b).columns == twice.columns
+    named = decontam.measure(d.withColumn("doc_id", F.concat(F.lit("k"), "doc_id")), b.withColumn("item_id", F.concat(F.lit("i"), "item_id"))).collect()
+    assert {r.doc_id: r.n_hit for r in named} == {f"k{i}": x[1] for i, x in want.items()}
+    runs = {(r.doc_id, r.item_id): (r.first, r.end) for r in decontam.spans(d, b).collect()}
+    i = texts.index("x " + " ".join(some[2:13]) + " y")
+    assert runs[(i, str(bench[0][0]))] == (1, 12)
 
 
-@settings(max_examples=40, deadline=None)
+@settings(max_examples=60, deadline=None)
 @given(st.lists(st.sampled_from("abc"), min_size=1, max_size=60), st.lists(st.sampled_from("abc"), min_size=1, max_size=60))
 def test_winnowing_misses_no_shared_span(a, b):
-    prints = decontam.Fingerprints([("1", " ".join(b).encode())])
-    raw = np.frombuffer(" ".join(a).encode(), np.uint8)
-    w = decontam.Words(np.array([0, len(raw)]), raw)
-    hits = {(at, span) for _, at, span, _ in prints.hits(w, decontam._Hasher())}
+    def prints(words, spans, whole):
+        raw = np.frombuffer(" ".join(words).encode(), np.uint8)
+        w = decontam.Words(np.array([0, len(raw)]), raw)
+        hashed = decontam.Hasher().words(w)
+        return [p for s in spans for _, p in decontam.prints_of(w, *decontam.winnow(w, hashed, s, whole=whole), s)]
+
     n = min(10, len(b))
-    assert hits == {(i, n) for i in range(len(a) - n + 1) if any(a[i : i + n] == b[j : j + n] for j in range(len(b) - n + 1))}
+    hit = set()
+    for p in prints(a, [n], False):
+        for q in prints(b, range(1, 11), True):
+            if (p["hash"], p["span"]) == (q["hash"], q["span"]) and (reach := decontam.extended(n, p["left"], p["context"], q["left"], q["context"])):
+                hit |= set(range(p["at"] - reach[0], p["at"] + min(5, n) + reach[1]))
+    assert hit == {x for i in range(len(a) - n + 1) if any(a[i : i + n] == b[j : j + n] for j in range(len(b) - n + 1)) for x in range(i, i + n)}
 
 
 # --- 7 toxicity --------------------------------------------------------------------------------
