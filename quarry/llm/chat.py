@@ -76,6 +76,7 @@ class Rows:
 
 
 #: Layouts: required paths, optional paths, mapping. Optional paths beside the mapped ones carry no turn.
+#: Every set of required paths with some of the optional ones has a fingerprint of its own in MAPPINGS.
 LAYOUTS: tuple[tuple[frozenset[str], tuple[str, ...], Turns | Fields | Rows], ...] = (
     (frozenset({"conv_id", "turn", "role", "text"}), (), Rows("conv_id", "turn", "role", "text")),
     (frozenset({"messages[].role", "messages[].content"}), ("id", "system", "source"), Turns("messages", "role", "content", (("system", "system"),))),
@@ -162,17 +163,30 @@ def records_to_turns(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return mapped.where("turns is not null").select("conv_id", F.explode("turns").alias("t")).select("conv_id", "t.turn", "t.role", "t.text"), mapped.where("turns is null").drop("turns")
 
 
+def mapping_of(paths: set[str]) -> tuple[str, Turns | Fields | Rows | None]:
+    """Schema fingerprint and mapping of a table's field paths.
+
+    The fingerprint of all paths decides. If it stands for no mapping, the table has further columns: then
+    that of the paths of one layout does, the first whose fingerprint stands for a mapping.
+    """
+    whole = fingerprint(paths)
+    if whole in MAPPINGS:
+        return whole, MAPPINGS[whole]
+    for needed, optional, _ in LAYOUTS:
+        if (part := fingerprint(paths & {*needed, *optional})) in MAPPINGS:
+            return part, MAPPINGS[part]
+    return whole, None
+
+
 def rows_to_turns(rows: DataFrame) -> DataFrame:
     """Canonical turns of a table whose schema fingerprint stands for a mapping of rows.
 
-    Columns beside those that the mapping needs are left out before; a table without them is an error.
+    Further columns do no harm and are not read; a table whose fingerprint stands for no such mapping is an error.
     """
-    for needed, _, mapping in LAYOUTS:
-        if isinstance(mapping, Rows) and needed <= schema_paths(rows.schema):
-            slim = rows.select(*sorted(needed))
-            m = MAPPINGS[fingerprint(schema_paths(slim.schema))]
-            return slim.select(F.col(m.conversation).cast("long").alias("conv_id"), F.col(m.order).cast("long").alias("turn"), F.col(m.role).cast("string").alias("role"), F.col(m.text).cast("string").alias("text"))
-    raise ValueError(f"no mapping for a table with {sorted(schema_paths(rows.schema))}")
+    print_, m = mapping_of(schema_paths(rows.schema))
+    if not isinstance(m, Rows):
+        raise ValueError(f"no mapping of rows for a table with fingerprint {print_}")
+    return rows.select(F.col(m.conversation).cast("long").alias("conv_id"), F.col(m.order).cast("long").alias("turn"), F.col(m.role).cast("string").alias("role"), F.col(m.text).cast("string").alias("text"))
 
 
 # --- template -----------------------------------------------------------------------------------
@@ -222,14 +236,39 @@ def format_turns(turns: DataFrame) -> DataFrame:
     return map_text(turns.select("conv_id", "turn", "role", "text"), run, _TURN_SCHEMA + ", formatted string, loss_start long, loss_end long")
 
 
+def read_back(formatted: DataFrame) -> DataFrame:
+    """What each formatted row holds: conv_id, turn, role and text as parsed, loss (its text under the mask) and chars.
+
+    ``loss`` is null where it is just ``text``, so that no text travels twice. Rows are read where they stand.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            taken, roles, texts, losses, chars = [], [], [], [], []
+            for i, (text, a, e) in enumerate(zip(*(b.column(k).to_pylist() for k in (2, 3, 4)), strict=True)):
+                loss, size = unescape(text[a:e]), len(text)
+                for role, said in parse(text):
+                    taken.append(i)
+                    roles.append(role)
+                    texts.append(said)
+                    losses.append(None if loss == said else loss)
+                    chars.append(size)
+                    loss, size = "", 0  # of further turns of the same row
+            at = pa.array(taken, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(roles, pa.string()), pa.array(texts, pa.string()), pa.array(losses, pa.string()), pa.array(chars, pa.int64())], names=["conv_id", "turn", "role", "text", "loss", "chars"])
+
+    return map_text(formatted.select("conv_id", "turn", "formatted", "loss_start", "loss_end"), run, _TURN_SCHEMA + ", loss string, chars long")
+
+
 def digests(formatted: DataFrame) -> DataFrame:
     """What can be read back of each formatted conversation, in one pass over its turns in order.
 
-    conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars. Hashes run on from turn to
-    turn, so a conversation of any length needs the memory of one turn. Conversations whose id is null
-    are one conversation; turns with equal numbers go by role, then text.
+    conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars. Formatted rows are parsed where
+    they stand; only what was read is shuffled. Hashes run on from turn to turn, so a conversation of any
+    length needs the memory of one turn, and its one task does nothing but hash. Conversations whose id is
+    null are one conversation; turns with equal numbers go by role, then text; repeated turns count each.
     """
-    dealt = formatted.select("conv_id", "turn", "role", "text", "formatted", "loss_start", "loss_end").repartition("conv_id").sortWithinPartitions("conv_id", F.asc_nulls_first("turn"), F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
+    dealt = read_back(formatted).repartition("conv_id").sortWithinPartitions("conv_id", F.asc_nulls_first("turn"), "role", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
@@ -248,21 +287,20 @@ def digests(formatted: DataFrame) -> DataFrame:
             return out
 
         for b in batches:
-            for conv, text, a, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            for conv, role, text, loss, chars in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
                 if now is None or now[0] != conv:
                     close()
                     now = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                loss = unescape(text[a:e])
-                for role, said in parse(text):
-                    now[1] += 1
-                    now[2].update(f"{role}\n{said}\n".encode())
+                loss = text if loss is None else loss
+                now[1] += 1
+                now[2].update(f"{role}\n{text}\n".encode())
                 now[3] += len(loss)
                 now[4].update(loss.encode())
-                now[5] += len(text)
+                now[5] += chars
             if len(done) > 1000:
                 yield flush()
         close()
         if done:
             yield flush()
 
-    return map_text(dealt.select("conv_id", "formatted", "loss_start", "loss_end"), run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return map_text(dealt.select("conv_id", "role", "text", "loss", "chars"), run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

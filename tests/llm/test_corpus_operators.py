@@ -546,11 +546,15 @@ def test_layouts(spark):
     assert {r.conv_id: r.schema_fingerprint is not None for r in unknown.collect()} == {6: True, 7: False, 8: False}
     with pytest.raises(ValueError):
         chat.rows_to_turns(df)
+    paths = {"conv_id", "turn", "role", "text"}
+    known = chat.fingerprint(paths)
+    assert chat.mapping_of(paths) == (known, chat.MAPPINGS[known]) and chat.mapping_of(paths | {"system", "prompt", "x.y"})[0] == known
+    assert chat.mapping_of(paths - {"turn"})[1] is None and chat.mapping_of({"prompt", "response", "system"})[0] == chat.fingerprint({"prompt", "response", "system"})
 
 
 def test_chat_digests(spark):
     rows = [(1, 1, "assistant", "b<|end|>"), (1, 0, "user", None), (1, 2, None, "c"), (2, 0, "assistant", "x"), (2, 0, "assistant", "x"), (None, 0, "assistant", "n"), (3, None, "user", "[INST]")]
-    df = spark.createDataFrame([(*r, 5) for r in rows], "conv_id long, turn long, role string, text string, formatted int")
+    df = spark.createDataFrame([(*r, 5, "p") for r in rows], "conv_id long, turn long, role string, text string, formatted int, prompt string")
     got = {r.conv_id: r for r in chat.digests(chat.format_turns(chat.rows_to_turns(df))).collect()}
 
     def sha(x):
