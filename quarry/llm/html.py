@@ -1,21 +1,28 @@
 """Main-text extraction by a minimum cut.
 
-A page becomes blocks of text in order. A small linear classifier says how costly it is to call each block
-content or boilerplate; those costs are the capacities from the source and to the sink. Edges between
-neighbouring blocks and between blocks that share a close ancestor make it costly to part them. The maximum
-flow's cut is the labelling of least total cost.
+A page becomes blocks of text in order. A linear classifier says how costly it is to call each block content
+or boilerplate; those costs are the capacities from the source and to the sink. Edges between neighbouring
+blocks and between blocks that share a close ancestor make it costly to part them. The maximum flow's cut is
+the labelling of least total cost.
+
+The classifier adds what the elements around a block are called to what its shape says (links, length,
+heading, sentence). The weights of shapes are fitted to the pages themselves: blocks whose surroundings leave
+no doubt are the labelled ones, and what they teach decides about blocks that nothing else tells apart.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from bisect import bisect_left
+from collections import Counter, defaultdict, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quarry.llm.common import map_text
 
@@ -45,11 +52,20 @@ NAME_COST = (
 )
 #: A cost from which a place counts as boilerplate whatever stands around it.
 CERTAIN = 6.0
-BIAS, LINKS, SHORT, LONG, SENTENCE, HEADING = 0.2, 3.5, 0.6, -1.2, -0.6, -0.8
+#: Shapes: upper ends of the bins of the share of linked text, and of the length. Longer or more is the last bin.
+LINKED, LENGTHS = (0.0, 0.25, 0.5, 0.8), (24, 59, 120, 300)
+#: Weights of shapes before any page is seen (log-odds of boilerplate): constant, bins of links, bins of length,
+#: heading, end of a sentence.
+PRIOR = (0.2, 0.0, 0.4, 1.3, 2.3, 3.3, 0.6, 0.0, 0.0, -1.2, -1.2, -1.4, -0.6)
+#: Pages that the weights are fitted to, at most about (by hash of their rows); pull towards PRIOR; as many labelled
+#: blocks as PRIOR itself counts for; largest weight.
+FIT_PAGES, PULL, PRIOR_BLOCKS, MOST_WEIGHT = 2000, 0.05, 500, 3.5
 #: Capacity between neighbours in the page, and of blocks with the same parent, each halved a level up.
 NEXT_TO, CLOSE, LEVELS = 0.5, 1.0, 3
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: The rest of a tag up to its end outside quotes; possessive, so that it never goes back.
+_REST = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>")
 _ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 #: Attributes whose words name an element's purpose. Those of html and body name the layout, not what is in them.
 NAMES, WHOLE = frozenset("class id role aria-label".split()), frozenset("html body".split())
@@ -71,6 +87,7 @@ class Node:
     good: float
     silent: bool
     number: int
+    depth: int = 0
 
     @property
     def cost(self) -> float:
@@ -108,11 +125,18 @@ def _named(attrs: str) -> tuple[float, float, bool]:
 
 
 def blocks_of(page: str) -> list[Block]:
-    """Blocks with text, in page order. Broken markup never fails: stray ends are left out, open elements end with the page."""
+    """Blocks with text, in page order, in time linear in the page.
+
+    Broken markup never fails: stray ends are left out, open elements end with the page, and a tag or comment
+    that is not closed ends the page's text. After a quote that is never closed, tags end at their first ``>``.
+    """
     root = Node("", None, 0.0, 0.0, False, 0)
     now, count, links = root, 0, 0
+    opened: dict[str, list[Node]] = defaultdict(list)  # open elements by tag, innermost last
+    outer: list[Node] = []  # open elements that are blocks
     out: list[Block] = []
     block = Block(root)
+    quotes = True
 
     def cut() -> None:
         nonlocal block
@@ -133,36 +157,58 @@ def blocks_of(page: str) -> list[Block]:
     def leave(node: Node) -> None:
         """Go out of ``node`` and all that is open in it."""
         nonlocal now, links
-        while now is not node:
-            links -= now.tag == "a"
-            now = now.up
-        links -= node.tag == "a"
-        now = node.up
-
-    at = 0
-    size = len(page)
+        while True:
+            done = now
+            opened[done.tag].pop()
+            if outer and outer[-1] is done:
+                outer.pop()
+            links -= done.tag == "a"
+            now = done.up
+            if done is node:
+                return
+
+    def innermost(tags: tuple[str, ...]) -> Node:
+        return max((opened[t][-1] for t in tags if opened[t]), key=lambda n: n.depth, default=root)
+
+    at, size = 0, len(page)
     while at < size:
-        m = _TOKEN.search(page, at)
-        if m is None:
+        start = page.find("<", at)
+        if start < 0:
             say(page[at:])
             break
-        if m.start() > at:
-            say(page[at : m.start()])
-        at = m.end()
-        tag = m.group(2) or m.group(5)
-        if tag is None:
-            if m.group().startswith("<![CDATA["):
-                say(html.escape(m.group()[9:].removesuffix("]]>")))
+        say(page[at:start])
+        mark = page[start + 1 : start + 2]
+        ends = mark == "/"
+        name = _NAME.match(page, start + 1 + ends) if mark else None
+        if name is None:
+            if mark == "!" and page.startswith("<!--", start):
+                close, after = page.find("-->", start + 4), 3
+            elif mark == "!" and page.startswith("<![CDATA[", start):
+                close, after = page.find("]]>", start + 9), 3
+                say(html.escape(page[start + 9 : close if close >= 0 else size]))
+            elif mark in ("!", "?", "/"):
+                close, after = page.find(">", start), 1
+            else:
+                say("<")
+                at = start + 1
+                continue
+            at = close + after if close >= 0 else size
             continue
-        tag = tag.lower()
-        if m.group(1) or m.group(4):  # an end
-            node = now
-            while node.tag and node.tag != tag:
-                node = node.up
-            if node.tag:
+        rest = _REST.match(page, name.end()) if quotes else None
+        if rest is None:
+            quotes = False
+            close = page.find(">", name.end())
+            if close < 0:
+                break
+            attrs, at = page[name.end() : close], close + 1
+        else:
+            attrs, at = page[name.end() : rest.end() - 1], rest.end()
+        tag = name.group().lower()
+        if ends:
+            if opened[tag]:
                 if tag in BLOCK_TAGS:
                     cut()
-                leave(node)
+                leave(opened[tag][-1])
                 if tag in BLOCK_TAGS:
                     block.node = now
             continue
@@ -171,60 +217,114 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if tag in CLOSES_P:
             cut()
-            node = now
-            while node.tag and node.tag != "p" and (node.tag not in BLOCK_TAGS):
-                node = node.up
-            if node.tag == "p":
-                leave(node)
+            if outer and outer[-1].tag == "p":
+                leave(outer[-1])
         elif tag in CLOSES_LIKE:
             cut()
-            node, stops = now, CLOSES_LIKE[tag]
-            while node.tag and node.tag != tag and node.tag not in stops:
-                node = node.up
-            if node.tag == tag:
-                leave(node)
+            like = innermost((tag,))
+            if like.depth > innermost(CLOSES_LIKE[tag]).depth:
+                leave(like)
         elif tag in BLOCK_TAGS:
             cut()
         if tag in VOID:
             continue
-        attrs = m.group(3) or m.group(6) or ""
-        bad, good, hidden = _named(attrs) if attrs else (0.0, 0.0, False)
+        bad, good, hidden = _named(attrs) if attrs.strip() else (0.0, 0.0, False)
         if tag in WHOLE:
             bad, good = 0.0, 0.0
         cost = TAG_COST.get(tag, 0.0)
         count += 1
         if not attrs.endswith("/") or tag not in ("svg", "math", "path"):
-            now = Node(tag, now, max(now.bad, bad, cost), min(now.good, good, cost), now.silent or hidden or tag in SILENT, count)
+            now = Node(tag, now, max(now.bad, bad, cost), min(now.good, good, cost), now.silent or hidden or tag in SILENT, count, now.depth + 1)
+            opened[tag].append(now)
+            if tag in BLOCK_TAGS:
+                outer.append(now)
             links += tag == "a"
             if not block.parts:
                 block.node = now
                 block.heading = tag[0] == "h" and tag[1:].isdigit() or (block.heading and tag not in BLOCK_TAGS)
-        if tag in RAW:
-            close = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
-            end = close.start() if close else size
-            say(page[at:end])
-            at = close.end() if close else size
-            if tag in BLOCK_TAGS:
-                cut()
-            leave(now)
+            if tag in RAW:
+                close = re.compile(rf"</{tag}(?![^\s/>])[^>]*>?", re.I).search(page, at)
+                end = close.start() if close else size
+                say(page[at:end])
+                at = close.end() if close else size
+                if tag in BLOCK_TAGS:
+                    cut()
+                leave(now)
     cut()
     return out
 
 
-def costs(block: Block) -> float:
-    """Log-odds that a block is boilerplate: a fixed linear model over its place, links, length and shape."""
+# --- classifier ---------------------------------------------------------------------------------
+
+
+def shape_of(block: Block) -> tuple[int, int, bool, bool]:
+    """Bin of the share of linked text, bin of the length, whether it is a heading, and whether it ends as a sentence."""
     n = len(block.text)
-    density = min(1.0, block.linked / n)
-    x = BIAS + block.node.cost + LINKS * density
-    if block.heading:
-        x += HEADING
-    elif n < 25:
-        x += SHORT
-    if n > 120:
-        x += LONG
-    if _END.search(block.text):
-        x += SENTENCE
-    return x
+    return bisect_left(LINKED, min(1.0, block.linked / n)), bisect_left(LENGTHS, n), block.heading, _END.search(block.text, max(0, n - 20)) is not None
+
+
+def row_of(shape: tuple[int, int, bool, bool]) -> np.ndarray:
+    """A shape as what each weight is multiplied by. A heading's length says nothing."""
+    linked, length, heading, sentence = shape
+    row = np.zeros(len(PRIOR))
+    row[0], row[1 + linked], row[12] = 1, 1, sentence
+    if heading:
+        row[11] = 1
+    else:
+        row[6 + length] = 1
+    return row
+
+
+def seen_label(block: Block) -> int | None:
+    """1 if the elements around a block leave no doubt that it is boilerplate, 0 if that it is content."""
+    node = block.node
+    return 1 if node.bad >= CERTAIN else 0 if node.bad == 0 and node.good <= TAG_COST["main"] else None
+
+
+def fitted(counts: dict[tuple[tuple[int, int, bool, bool], int], int]) -> tuple[float, ...]:
+    """Weights of a logistic regression over counts of (shape, label), classes weighed equally, pulled towards PRIOR."""
+    total = Counter()
+    for (_, y), n in counts.items():
+        total[y] += n
+    if len(total) < 2:
+        return PRIOR
+    keys = sorted(counts)
+    x, y = np.array([row_of(k) for k, _ in keys]), np.array([y for _, y in keys], float)
+    told = total[0] + total[1]
+    share = np.array([0.5 * counts[k] / total[k[1]] for k in keys]) * told / (told + PRIOR_BLOCKS)
+    prior = np.array(PRIOR)
+    w = prior.copy()
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (share * p * (1 - p))[:, None]).T @ x + PULL * np.eye(len(w)), x.T @ (share * (p - y)) + PULL * (w - prior))
+        w = w - step
+        if np.abs(step).max() < 1e-9:
+            break
+    return tuple(np.clip(w, -MOST_WEIGHT, MOST_WEIGHT).tolist())
+
+
+def fit(pages: DataFrame) -> tuple[float, ...]:
+    """Weights of shapes, from about FIT_PAGES pages at most. Shapes are counted on the executors: a few hundred counts come back."""
+    rows = pages.count()
+    taken = pages.select("html").where(F.col("html").isNotNull() & (F.pmod(F.xxhash64("page_id", "url"), F.lit(1_000_000)) < F.ceil(F.lit(1e6 * min(1.0, FIT_PAGES / max(1, rows))))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+        for b in batches:
+            for page in b.column(0):
+                found.update((shape_of(x), y) for x in blocks_of(page.as_py()) if (y := seen_label(x)) is not None)
+        columns = list(zip(*((*shape, y, n) for (shape, y), n in found.items()), strict=True)) or [()] * 6
+        kinds = [pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.int32(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["linked", "length", "heading", "sentence", "label", "n"])
+
+    counted = map_text(taken, run, "linked int, length int, heading boolean, sentence boolean, label int, n long").groupBy("linked", "length", "heading", "sentence", "label").agg(F.sum("n").alias("n"))
+    return fitted({((r.linked, r.length, r.heading, r.sentence), r.label): r.n for r in counted.collect()})
+
+
+def costs(block: Block, weights: tuple[float, ...] = PRIOR) -> float:
+    """Log-odds that a block is boilerplate: what stands around it, and its shape."""
+    linked, length, heading, sentence = shape_of(block)
+    return block.node.cost + weights[0] + weights[1 + linked] + (weights[11] if heading else weights[6 + length]) + weights[12] * sentence
 
 
 def minimum_cut(to_sink: list[float], edges: dict[tuple[int, int], float]) -> list[bool]:
@@ -296,7 +396,7 @@ def minimum_cut(to_sink: list[float], edges: dict[tuple[int, int], float]) -> li
                 cap[e ^ 1] += flow
 
 
-def content_of(blocks: list[Block]) -> list[bool]:
+def content_of(blocks: list[Block], weights: tuple[float, ...] = PRIOR) -> list[bool]:
     """Which blocks are the main text."""
     if not blocks:
         return []
@@ -317,29 +417,29 @@ def content_of(blocks: list[Block]) -> list[bool]:
                 link(last[node.number], i, c)
             last[node.number] = i
             node, c = node.up, c / 2
-    scores = [costs(b) for b in blocks]
+    scores = [costs(b, weights) for b in blocks]
     if max(scores) <= 0 or min(scores) >= 0:  # nothing flows
         return [x < 0 for x in scores]
     side = minimum_cut(scores, edges)
     return [s or x == 0 for s, x in zip(side, scores, strict=True)]
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, weights: tuple[float, ...] = PRIOR) -> str:
     """The main text's blocks in page order, joined by line ends; empty if there is none."""
     blocks = blocks_of(page or "")
-    return "\n".join(b.text for b, keep in zip(blocks, content_of(blocks), strict=True) if keep)
+    return "\n".join(b.text for b, keep in zip(blocks, content_of(blocks, weights), strict=True) if keep)
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def extract(pages: DataFrame, weights: tuple[float, ...] = PRIOR) -> DataFrame:
     """page_id, url, text and n_chars of every page.
 
-    Null html counts as empty; a page without main text has an empty text. Each row is judged by itself,
-    so repeated rows, null ids and extra columns do no harm.
+    Null html counts as empty; a page without main text has an empty text; an empty table gives no rows. Each
+    row is judged by itself, so repeated rows, null ids and extra columns do no harm.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(x.as_py()) for x in b.column(2)]
+            texts = [main_text(x.as_py(), weights) for x in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema}

@@ -68,8 +68,9 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Main texts of all pages."""
-    return html.extract(table(spark, sf_dir, "pages"))
+    """Main texts of all pages; the classifier's weights are fitted to a bounded number of them."""
+    pages = table(spark, sf_dir, "pages")
+    return html.extract(pages, html.fit(pages))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -615,6 +615,41 @@ def test_broken_pages(page):
     assert isinstance(html.main_text(page), str)
 
 
+@pytest.mark.parametrize("piece", ["<a ", "<div", "<a \">\" ", "</b>x<i>", "<ul><li><i>", "<p><i><div></div>", "<li><ul><i><li></li>", "<!--", "<a b='", "<script>", "a<"])
+def test_long_broken_pages_take_linear_time(piece):
+    import time
+
+    start = time.process_time()
+    html.main_text("<p>" + piece * (600_000 // len(piece)))
+    assert time.process_time() - start < 12
+    if piece == "<a ":
+        html.main_text(piece * (5_000_000 // len(piece)))
+        assert time.process_time() - start < 20
+
+
+def test_pages_with_further_columns_repeated_and_empty(spark):
+    rows = [(1, "u", PAGE, 1, "t")] * 2 + [(None, None, PAGE, 2, "t"), (2, "v", None, 3, None), (3, "w", "", 4, "x"), (4, "l", ARTICLE * 30_000, 5, "x")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int, text string")
+    got = html.extract(df, html.fit(df)).collect()
+    assert got[0].asDict().keys() == {"page_id", "url", "text", "n_chars"}
+    by_id = Counter((r.page_id, r.n_chars) for r in got)
+    n = len(html.main_text(PAGE))
+    assert by_id == {(1, n): 2, (None, n): 1, (2, 0): 1, (3, 0): 1, (4, len(html.main_text(ARTICLE * 30_000))): 1} and max(r.n_chars for r in got) > 9_000_000
+    assert html.extract(df.limit(0), html.fit(df.limit(0))).count() == 0 and html.fit(df.limit(0)) == html.PRIOR
+
+
+def test_weights_follow_the_pages():
+    long, short = (0, 3, False, True), (0, 0, False, False)
+    as_expected = html.fitted({(long, 0): 9000, (short, 1): 8000, (short, 0): 500})
+    other_way = html.fitted({(long, 1): 9000, (short, 0): 8000})
+    score = lambda w, x: float(html.row_of(x) @ np.array(w))
+    assert score(as_expected, long) < 0 < score(as_expected, short) and score(other_way, short) < score(as_expected, short)
+    assert score(other_way, long) > score(as_expected, long) and html.fitted({(long, 0): 5}) == html.PRIOR
+    node = html.Node("p", None, 0.0, 0.0, False, 1)
+    block = html.Block(node, linked=5, text="Hello there.")
+    assert html.costs(block, as_expected) == pytest.approx(score(as_expected, html.shape_of(block)))
+
+
 def plain_cut(costs, edges):
     best = None
     for mask in range(1 << len(costs)):
