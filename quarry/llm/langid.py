@@ -273,7 +273,7 @@ def training_rows(docs: DataFrame) -> DataFrame:
     known = docs.where("lang is not null and text is not null and doc_id is not null").where(crc_of_id() % 4 != 2)
     # one count for each language: as many as the model has columns, so the driver and all workers hold them anyway
     counts = known.groupBy("lang").agg(F.count("*").alias("n"))
-    shares = [(r.lang, math.ceil(1e6 * min(1.0, TRAIN_DOCS / r.n))) for r in counts.toLocalIterator()]
+    shares = [(r.lang, math.ceil(1e6 * min(1.0, TRAIN_DOCS / r.n))) for r in counts.collect()]
     share = docs.sparkSession.createDataFrame(shares, "lang string, __share int")
     taken = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(3)), F.lit(1_000_000)) < F.col("__share")
     return known.select("doc_id", "lang", "text").join(F.broadcast(share), "lang").where(taken).select("lang", "text")
@@ -298,7 +298,7 @@ def fit(docs: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(list(grams)), pa.array(list(grams.values()), pa.int64())], names=["lang", "gram", "n"])
 
     counted = map_text(rows, count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where("n >= 2 or gram like 's%'")
-    return build([(r.lang, r.gram, r.n) for r in counted.toLocalIterator()])
+    return build([(r.lang, r.gram, r.n) for r in counted.collect()])
 
 
 def build(counts: list[tuple[str, str, int]]) -> Model:

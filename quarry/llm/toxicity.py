@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import crc_of_id, map_text, prepare
+from quarry.llm.common import crc_of_id, map_text, materialise, prepare
 
 #: Labelled documents of each class that the model is fitted to, at most; taken by hash of their ids.
 TRAIN_TOXIC, TRAIN_CLEAN = 2000, 3000
@@ -235,93 +235,173 @@ def _features(words: int, mass: float) -> tuple[float, float, float]:
 
 
 # --- training -----------------------------------------------------------------------------------
+#
+# Training texts stay on the executors. The driver sees, of at most TRAIN_TOXIC + TRAIN_CLEAN documents, a
+# sketch of SKETCH hashes and three numbers each, and counts of the candidate terms.
+
+#: Features whose counts a task holds before it sends them on.
+HELD_FEATURES = 1_000_000
+SKETCH = 32
+#: Shortest and longest words that are learned whole, and shortest and longest stems.
+WHOLE, STEM = (3, 24), (4, 10)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(toxic, text) of a bounded number of labelled documents outside the held-out fifth, by hash of their ids."""
+    """(id, toxic, text) of a bounded number of labelled documents outside the held-out fifth, by hash of their ids."""
     marked = labels.where("toxic in (0, 1) and doc_id is not null").where(crc_of_id() % 5 != 0).groupBy("doc_id").agg(F.max("toxic").alias("__toxic"))
     order = F.xxhash64(F.col("doc_id"), F.lit(7))
     picked = marked.where("__toxic = 1").orderBy(order, "doc_id").limit(TRAIN_TOXIC).unionAll(marked.where("__toxic = 0").orderBy(order, "doc_id").limit(TRAIN_CLEAN))
     # at most TRAIN_TOXIC + TRAIN_CLEAN ids, so sending them to all workers is safe at any size
-    return docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.max("__toxic").alias("toxic"), F.min("text").alias("text")).select("toxic", "text")
+    met = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.max("__toxic").cast("int").alias("toxic"), F.min("text").alias("text"))
+    return met.select(F.xxhash64("doc_id").alias("id"), "toxic", "text")
+
+
+def features(words: Iterable[str]) -> Iterator[tuple[str, bool]]:
+    """What may become a term: whole words, and stems (their first letters)."""
+    for w in words:
+        if WHOLE[0] <= len(w) <= WHOLE[1]:
+            yield w, False
+        for k in range(STEM[0], min(len(w), STEM[1]) + 1):
+            yield w[:k], True
+
+
+def _scanned(rows: DataFrame, kept: frozenset[int] | None, schema: str, scan: Callable[[Iterator[tuple[int, int, str]]], Iterator[tuple]]) -> DataFrame:
+    """Rows that ``scan`` makes of the kept training documents (id, toxic, lower-cased text) of each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[tuple[int, int, str]]:
+            for b in batches:
+                for i in range(b.num_rows):
+                    if kept is None or b.column(0)[i].as_py() in kept:
+                        yield b.column(0)[i].as_py(), b.column(1)[i].as_py(), b.column(2)[i].as_py().lower()
+
+        found: list[tuple] = []
+        for row in scan(each()):
+            found.append(row)
+            if len(found) >= 10_000:
+                yield _batch(found)
+                found = []
+        if found:
+            yield _batch(found)
+
+    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = [{"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(), "array<long>": pa.list_(pa.int64())}[x.split()[1]] for x in schema.split(", ")]
+
+    def _batch(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names=names)
 
+    return map_text(rows, run, schema)
 
-def _distinct_enough(rows: list[tuple[int, str]]) -> list[tuple[int, str]]:
-    """The rows without near copies of earlier ones (by a sketch of word runs), texts lower-cased."""
+
+def distinct_enough(sketches: list[tuple[int, int, list[int]]]) -> frozenset[int]:
+    """Ids of the documents (toxic, id, sketch) that are no near copies of earlier ones."""
     seen: set[int] = set()
     out = []
-    for toxic, text in rows:
-        text = text.lower()
-        words = _WORD.findall(text)
-        runs = sorted({xxhash.xxh64_intdigest(" ".join(words[i : i + 4])) for i in range(max(1, len(words) - 3))})[:32]
+    for _, i, runs in sorted(sketches):
         known = sum(h in seen for h in runs)
         seen.update(runs)
         if known * 4 <= len(runs):
-            out.append((toxic, text))
-    return out
+            out.append(i)
+    return frozenset(out)
 
 
-def learn_terms(rows: list[tuple[int, str]]) -> list[Term]:
-    """Words and stems that tell toxic documents; of a family of prefixes the longest that loses no document."""
+def _sketches(each: Iterator[tuple[int, int, str]]) -> Iterator[tuple]:
+    for i, toxic, text in each:
+        words = _WORD.findall(text)
+        yield toxic, i, sorted({xxhash.xxh3_64_intdigest(" ".join(words[k : k + 4])) >> 1 for k in range(max(1, len(words) - 3))})[:SKETCH]
 
-    def features(words: Iterable[str]) -> Iterator[tuple[str, bool]]:
-        for w in words:
-            if 3 <= len(w) <= 24:
-                yield w, False
-            for k in range(4, min(len(w), 10) + 1):
-                yield w[:k], True
 
-    toxic = [_WORD.findall(t) for y, t in rows if y]
-    clean = [_WORD.findall(t) for y, t in rows if not y]
-    if not toxic:
-        return []
-    least = max(LEAST_DOCS, LEAST_SHARE * len(toxic))
-    # most features are rare: a first count by hash rules them out before any of them is kept
-    rough = np.zeros(1 << 22, np.int32)
-    for words in toxic:
-        at = np.fromiter(map(hash, set(features(set(words)))), np.int64) & (len(rough) - 1)
-        np.add.at(rough, at, 1)
-    counts: dict[tuple[str, bool], int] = Counter()
-    for words in toxic:
-        counts.update({f for f in features(set(words)) if rough[hash(f) & (len(rough) - 1)] >= least})
-    counts = {f: n for f, n in counts.items() if n >= least}
-    against: Counter = Counter()
-    for words in clean:
-        against.update({f for f in features(set(words)) if f in counts})
+def _toxic_counts(each: Iterator[tuple[int, int, str]]) -> Iterator[tuple]:
+    """(term, stem, documents) of the toxic documents."""
+    counts: Counter = Counter()
+    for _, toxic, text in each:
+        if toxic:
+            counts.update(set(features(set(_WORD.findall(text)))))
+            if len(counts) >= HELD_FEATURES:
+                yield from ((*f, n) for f, n in counts.items())
+                counts.clear()
+    yield from ((*f, n) for f, n in counts.items())
+
+
+@dataclass
+class Evidence:
+    """Counts of candidate terms: toxic documents that hold each, clean documents, places in either, words of either."""
+
+    held: list[set[int]]
+    clean: np.ndarray
+    places: tuple[np.ndarray, np.ndarray]
+    words: tuple[int, int]
+    documents: tuple[int, int]
+
+
+def _evidence(rows: DataFrame, kept: frozenset[int], candidates: list[tuple[str, bool]], documents: tuple[int, int]) -> Evidence:
+    number = {f: i for i, f in enumerate(candidates)}
+    sent = rows.sparkSession.sparkContext.broadcast(number)
+
+    def scan(each: Iterator[tuple[int, int, str]]) -> Iterator[tuple]:
+        at, sums, total, n = sent.value, np.zeros((3, len(sent.value)), np.int64), [0, 0], 0
+        for _, toxic, text in each:
+            words = _WORD.findall(text)
+            total[toxic] += len(words)
+            own: set[int] = set()
+            for w, k in Counter(words).items():
+                for f in features((w,)):
+                    if (i := at.get(f)) is not None:
+                        sums[1 if toxic else 2, i] += k
+                        own.add(i)
+            n += 1
+            if toxic:
+                yield 1, sorted(own), None, None, None
+            else:
+                sums[0, list(own)] += 1
+        if n:
+            yield 0, total, *sums.tolist()
+
+    out = Evidence([set() for _ in candidates], np.zeros(len(candidates), np.int64), (np.zeros(len(candidates), np.int64), np.zeros(len(candidates), np.int64)), (0, 0), documents)
+    document = 0
+    for r in _scanned(rows, kept, "one int, own array<long>, clean array<long>, toxic_places array<long>, clean_places array<long>", scan).collect():
+        if r.one:
+            for i in r.own:
+                out.held[i].add(document)
+            document += 1
+        else:
+            out.words = (out.words[0] + r.own[1], out.words[1] + r.own[0])
+            out.clean += np.array(r.clean, np.int64)
+            out.places[0][:] += np.array(r.toxic_places, np.int64)
+            out.places[1][:] += np.array(r.clean_places, np.int64)
+    return out
+
+
+def chosen_terms(candidates: list[tuple[str, bool]], e: Evidence) -> list[Term]:
+    """Words and stems that tell toxic documents; of a family of prefixes the longest that loses no document."""
+    toxic, clean = e.documents
+    at = {f: i for i, f in enumerate(candidates)}
+    n, against = {f: len(e.held[at[f]]) for f in candidates}, {f: int(e.clean[at[f]]) for f in candidates}
 
     def telling(n: int, m: int) -> float:
-        return (n / len(toxic)) / (n / len(toxic) + (m + 0.05) / max(1, len(clean)))
-
-    good = sorted((f for f, n in counts.items() if telling(n, against[f]) >= PRECISION), key=lambda f: (-counts[f], f[1], -len(f[0]), f[0]))
-    held: dict[tuple[str, bool], set[int]] = {f: set() for f in good}
-    for i, words in enumerate(toxic):
-        for f in features(set(words)):
-            if f in held:
-                held[f].add(i)
+        return (n / toxic) / (n / toxic + (m + 0.05) / max(1, clean))
+
+    good = sorted((f for f in candidates if telling(n[f], against[f]) >= PRECISION), key=lambda f: (-n[f], f[1], -len(f[0]), f[0]))
     chosen: list[tuple[str, bool]] = []
     for f in good:
         if any(t[1] and f[0].startswith(t[0]) for t in chosen):
             continue
         # a wider stem must be as telling in what it adds to the terms that it holds
         within = [t for t in chosen if t[0].startswith(f[0])]
-        more = len(held[f] - set().union(*(held[t] for t in within)))
+        more = len(e.held[at[f]] - set().union(*(e.held[at[t]] for t in within)))
         more_clean = max(0, against[f] - sum(against[t] for t in within))
-        if more >= least and telling(more, more_clean) >= PRECISION:
+        if more >= _least(toxic) and telling(more, more_clean) >= PRECISION:
             chosen = [t for t in chosen if not (f[1] and t[0].startswith(f[0]))] + [f]
-    rates = []
-    for texts in (toxic, clean):
-        seen = Counter(f for words in texts for f in features(words) if f in held)
-        rates.append((seen, sum(map(len, texts)) + 1))
-    (a, n), (b, m) = rates
-    ratio = {f: (a[f] / n) / ((b[f] + 0.5) / m) for f in chosen}
-    terms = [Term(*f, edits_of(*f), min(1.0, math.log(ratio[f]) / FULL)) for f in chosen if ratio[f] >= LEAST_RATIO]
-    return _without_neighbours(terms, {w for words in clean for w in words})
-
-
-def _without_neighbours(terms: list[Term], clean: set[str]) -> list[Term]:
-    """The terms, without edits for those that many clean words are near to."""
-    every = Lexicon(terms)
-    near = [w for w in clean if (x := every.find(w))[0] and not x[1]]
+    ratio = {f: (e.places[0][at[f]] / (e.words[0] + 1)) / ((e.places[1][at[f]] + 0.5) / (e.words[1] + 1)) for f in chosen}
+    return sorted(Term(*f, edits_of(*f), min(1.0, math.log(ratio[f]) / FULL)) for f in chosen if ratio[f] >= LEAST_RATIO)
+
+
+def _least(toxic: int) -> float:
+    return max(LEAST_DOCS, LEAST_SHARE * toxic)
+
+
+def without_neighbours(terms: list[Term], near: Iterable[str]) -> list[Term]:
+    """The terms, without edits for those that many of the clean words ``near`` are near to."""
     out = []
     for t in terms:
         alone = Lexicon([t])
@@ -330,23 +410,49 @@ def _without_neighbours(terms: list[Term], clean: set[str]) -> list[Term]:
     return sorted(out)
 
 
-def train(rows: list[tuple[int, str]]) -> Model:
-    """A model of (label, text) rows. Without a toxic label every score is that of no hits."""
-    rows = _distinct_enough(sorted(rows))
-    model = Model(learn_terms(rows))
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """Learn terms, innocent neighbours and the curve from a bounded number of labelled documents.
+
+    Without a toxic label there are no terms, and every score is that of no hits; empty tables are no error.
+    Repeated labels of a document count as their largest, repeated documents as one. Words shorter than 3 or
+    longer than 24 letters are learned by their stems alone.
+    """
+    prepare(docs.sparkSession)
+    rows = materialise(training_rows(docs, labels).repartition(docs.sparkSession.sparkContext.defaultParallelism))
+    sketches = [(r.toxic, r.id, r.runs) for r in _scanned(rows, None, "toxic int, id long, runs array<long>", _sketches).collect()]
+    kept = distinct_enough(sketches)
+    toxic = sum(y for y, i, _ in sketches if i in kept)
+    if not toxic:
+        return Model([])
+    counted = _scanned(rows, kept, "term string, stem boolean, n long", _toxic_counts).groupBy("term", "stem").agg(F.sum("n").alias("n")).where(F.col("n") >= _least(toxic))
+    candidates = sorted((r.term, r.stem) for r in counted.collect())
+    terms = chosen_terms(candidates, _evidence(rows, kept, candidates, (toxic, len(kept) - toxic)))
+    model = Model(terms)
+
+    def near_words(each: Iterator[tuple[int, int, str]]) -> Iterator[tuple]:
+        lexicon, seen = Lexicon(terms), set()
+        for _, y, text in each:
+            if not y:
+                fresh = set(_WORD.findall(text)) - seen
+                seen |= fresh
+                yield from ((w,) for w in fresh if (x := lexicon.find(w))[0] and not x[1])
+
+    near = [r.word for r in _scanned(rows, kept, "word string", near_words).distinct().collect()] if terms else []
+    model = Model(without_neighbours(terms, near))
     lexicon = Lexicon(model.terms)
-    model.innocent = frozenset(w for w in {w for y, t in rows if not y for w in _WORD.findall(t)} if (x := lexicon.find(w))[0] and not x[1])
-    points = [(y, n, sum(w * f for *_, w, f in hits)) for y, t in rows for n, hits in [model.hits(t)]]
-    if model.terms and len({y for y, _, _ in points}) == 2:
-        a, b, c = _curve(points)
-        model.curve = (a, b, min(c, NO_HIT))
-    return model
+    model.innocent = frozenset(w for w in near if (x := lexicon.find(w))[0] and not x[1])
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
+    def points(each: Iterator[tuple[int, int, str]]) -> Iterator[tuple]:
+        for _, y, text in each:
+            n, hits = sent.value.hits(text)
+            yield y, n, sum(w * f for *_, w, f in hits)
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Learn terms, innocent neighbours and the curve from a bounded number of labelled documents."""
-    prepare(docs.sparkSession)
-    return train([(int(r.toxic), r.text) for r in training_rows(docs, labels).collect()])
+    if model.terms and toxic < len(kept):
+        found = [(r.y, r.n, r.mass) for r in _scanned(rows, kept, "y int, n long, mass double", points).collect()]
+        a, b, c = _curve(sorted(found))
+        model.curve = (a, b, min(c, NO_HIT))
+    return model
 
 
 def _curve(points: list[tuple[int, int, float]]) -> tuple[float, float, float]:
@@ -379,8 +485,9 @@ def _curve(points: list[tuple[int, int, float]]) -> tuple[float, float, float]:
 def score(docs: DataFrame, model: Model, with_hits: bool = False) -> DataFrame:
     """doc_id, held_out, score and predicted of every document (and its hits on request).
 
-    Null and empty texts have no hits and get the score of that. Each row is scored by itself; a null
-    doc_id counts as empty text for the held-out rule.
+    Null and empty texts have no hits and get the score of that. Each row is scored by itself, so repeated
+    rows are scored each and further columns do no harm; a null doc_id counts as empty text for the held-out
+    rule; an empty table gives no rows.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -468,6 +468,9 @@ def test_toxicity(spark, real):
     odd = toxicity.score(docs(spark, AWKWARD), model).collect()
     assert len(odd) == len(AWKWARD) and all(r.predicted == 0 for r in odd)
     assert toxicity.keep_clean(d, model).count() == 300
+    again = toxicity.fit(d.unionAll(d).withColumn("toxic", F.lit(5)), labels.unionAll(labels))
+    assert again.terms == model.terms and np.allclose(again.curve, model.curve)
+    assert Counter((r.doc_id, r.predicted) for r in toxicity.score(d.unionAll(d), model).collect()) == Counter({(i, int(i % 4 == 0)): 2 for i in range(400)})
     none = toxicity.fit(d, labels.limit(0))
     assert toxicity.score(d.limit(2), none).where("predicted = 1").count() == 0 and toxicity.score(d.limit(0), none).count() == 0
 
