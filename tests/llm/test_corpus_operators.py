@@ -88,6 +88,17 @@ def test_simhash_keep_one_null_ids_and_empty(spark):
     assert Counter(r.component_id for r in simhash.groups(docs(spark, ["a b c"] * 3, [4, 4, 2])).collect()) == {2: 3}
 
 
+def test_keep_one_with_shared_ids_and_clashing_names(spark):
+    d = docs(spark, ["a b c d", "a b c d", "x y z w", "x y z w", "q r s t"], [1, 2, 3, 3, None]).withColumn("__rank", F.lit("r")).withColumn("__gone", F.lit(1)).withColumn("tile", F.lit(1))
+    for sent in (simhash.SENT_IDS, 0):
+        simhash.SENT_IDS, held = sent, simhash.SENT_IDS
+        try:
+            for kept in (simhash.keep_one(d), simhash.keep_verified(d)):
+                assert kept.columns == d.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "None"]
+        finally:
+            simhash.SENT_IDS = held
+
+
 def plain_shingles(text):
     w = text.lower().split()
     return {" ".join(w[i : i + 5]) for i in range(len(w) - 4)} or {" ".join(w)}
@@ -111,8 +122,9 @@ def test_pipeline_drops_near_copies_by_shingles(spark):
     assert sum((fp[a] ^ fp[b]).bit_count() > 3 for a, b in comp.items()) > 10
     kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs(spark, texts), SF).collect()}
     assert kept == set(comp.values())
-    got = {r.doc_id: r.component_id for r in simhash.near_groups(docs(spark, texts), tile=20).collect()}
-    assert got == comp
+    for group in (simhash.GROUP, 2, 1):  # 1: every group is compared with its leader, the rest in blocks
+        got = {r.doc_id: r.component_id for r in simhash.near_groups(docs(spark, texts), tile=20, group=group).collect()}
+        assert got == comp
 
 
 def test_connected_components(spark):
