@@ -122,9 +122,10 @@ class Scanner:
                 notice, label = NOTICES[k]
                 e = edits_of(notice)
                 a = end + 1 - size - at
-                if a < done.get(k, -1):
+                last = done.get(k, 0)
+                if end + 1 - size < last:  # within the last match; matches never run over a text's end
                     continue
-                low, high = max(0, a - e), a + len(notice) + e
+                low, high = max(last, a - e), a + len(notice) + e
                 low = max(low, text.rfind("\n", low, end + 1 - size) + 1)
                 stop = text.find("\n", end, high)
                 m = self.fuzzy[k].search(text, low, high if stop < 0 else stop)
@@ -155,7 +156,8 @@ def scan(docs: DataFrame) -> DataFrame:
     greatest first word of them, else null), base_labels, labels (base and fuzzy; both distinct, sorted,
     comma-joined), score (1 for a base phrase or an exact notice, else 1 - edits / length of the best
     notice, 0 without one) and notices (array of first word, last word, label, edits). Null texts count as
-    empty; each row is scanned by itself, so repeated ids and extra columns make no difference.
+    empty; each row is scanned by itself and whole, so repeated ids and extra columns make no difference, and an
+    empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,13 +35,19 @@ def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
 def shard_column(df: DataFrame, key: str, counts: dict[str, int]) -> DataFrame:
     """Add one int column per entry of ``counts`` (column name: number of shards), by the key's jump hash.
 
-    A null key counts as 0. The key column must be an integer type; columns of those names are replaced.
+    A null key counts as 0. Integers are their own keys; of other types the text form is hashed. Columns of
+    those names are replaced.
     """
     df = df.drop(*counts)
 
+    def keys_of(column: pa.Array) -> np.ndarray:
+        if pa.types.is_integer(column.type):
+            return column.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        return np.array([0 if x is None else xxhash.xxh64_intdigest(str(x)) for x in column.to_pylist()], np.uint64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = b.column(b.schema.get_field_index(key)).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            keys = keys_of(b.column(b.schema.get_field_index(key)))
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(jump_hash(keys, n), pa.int32()) for n in counts.values())], names=[*b.schema.names, *counts])
 
     return map_text(df, run, T.StructType([*df.schema.fields, *(T.StructField(c, T.IntegerType()) for c in counts)]))

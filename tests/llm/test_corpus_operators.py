@@ -177,6 +177,15 @@ def test_license_fuzzy_spans(spark):
     assert got[3].labels == "mit"
 
 
+def test_notices_of_neighbouring_rows_and_long_texts(spark):
+    cut = "ensed under the mit license"  # three letters are missing
+    texts = ["so licensed under the mit license", cut + " here", "word " * 200_000 + "licensed undr the mit license", "licensed under the mit license " + cut] + [cut] * 3
+    d = docs(spark, texts).coalesce(1)
+    got = {r.doc_id: r for r in license_scan.scan(d).collect()}
+    assert all(got[i].labels == "mit" for i in got) and got[2].notices[0].first == 200_000 and got[2].n_words == 200_005
+    assert sum(h.label == "mit" for h in got[3].notices) >= 2 and license_scan.scan(d.limit(0)).count() == 0
+
+
 def test_long_notices_allow_an_edit_in_nine_characters():
     scanner = license_scan.Scanner()
     for text, label, edits in (("licensd under the apacha license versoin 2 0", "apache-2.0", 4), ("licensd under the apacha licensx versoin 2 0", "apache-2.0", 5), ("licxnsed undxr the mit licxnse", "mit", 3)):
@@ -514,6 +523,8 @@ def test_sharding(spark):
     want = Counter((len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for t in texts)
     assert Counter((r.size, r.text_crc32) for r in rows) == want
     assert sharding.assign(docs(spark, [])).count() == 0
+    named = sharding.assign(docs(spark, ["a", "a", "b", None], [1, 1, 2, None]).withColumn("doc_id", F.concat(F.lit("k"), "doc_id"))).collect()
+    assert len(named) == 4 and len({r.shard for r in named if r.doc_id == "k1"}) == 1 and {r.shard for r in named if r.doc_id is None} == {plain_jump(0, 8)}
 
 
 def test_shard_files(spark, tmp_path):
