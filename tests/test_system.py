@@ -40,6 +40,10 @@ def test_two_columns(spark):
     assert got == [f"left {i}" for i in range(4)] + [f"right {i}" for i in range(4)] + ["wide head"] + [f"left {i}" for i in range(4, 8)] + [f"right {i}" for i in range(4, 8)]
     single = spark.createDataFrame([line(1, i, f"t{i}", 300 - 10 * i) for i in range(5)], LINE)
     assert [r.text for r in layout.reading_order(single).orderBy("pos").collect()] == ["t4", "t3", "t2", "t1", "t0"]
+    few = [line(1, i, f"l{i}", 150 + 20 * i, 50, 280) for i in range(5)] + [line(1, 9 + i, f"r{i}", 150 + 20 * i, 320, 550) for i in range(5)]
+    assert [r.text for r in layout.reading_order(spark.createDataFrame(few, LINE)).orderBy("pos").collect()] == [x for i in range(5) for x in (f"l{i}", f"r{i}")]
+    apart = [line(1, i, f"l{i}", 150 + 60 * i, 50, 280) for i in range(5)] + [line(1, 9 + i, f"r{i}", 180 + 60 * i, 320, 550) for i in range(5)]
+    assert [r.text for r in layout.reading_order(spark.createDataFrame(apart, LINE), recognised=True).orderBy("pos").collect()] == [x for i in range(5) for x in (f"l{i}", f"r{i}")]
     boxes = spark.createDataFrame([(1, 1, 0.0, 296.0, 600.0, 320.0)], "doc_id int, page int, x0 double, top double, x1 double, bottom double")
     assert layout.outside_tables(single, boxes).count() == 4
 
