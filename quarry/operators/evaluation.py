@@ -22,34 +22,29 @@ def resolve_evidence(chunks: DataFrame, phrases: DataFrame, allowed: DataFrame |
     return containing(keyed, wanted).select("query_id", "chunk_id", "document_id").distinct()
 
 
-def first_ranks(runs: DataFrame, gold: DataFrame, depth: int) -> DataFrame:
+def first_ranks(runs: DataFrame, gold: DataFrame, depth: int, arms: tuple[str, ...]) -> DataFrame:
     """arm, query_id and r: the first position of a gold chunk within the depth, null if there is none.
 
-    Every question with gold has a row for every arm.
+    Every question with gold has a row for every one of ``arms``.
     """
     found = runs.where(F.col("pos") <= depth).join(gold.select("query_id", "chunk_id").distinct(), ["query_id", "chunk_id"]).groupBy("arm", "query_id").agg(F.min("pos").alias("r"))
-    asked = gold.select("query_id").distinct().withColumn("arm", F.explode(F.array(*[F.lit(a) for a in _arms(runs)])))
+    asked = gold.select("query_id").distinct().withColumn("arm", F.explode(F.array(*[F.lit(a) for a in arms])))
     return asked.join(found, ["arm", "query_id"], "left")
 
 
-def _arms(runs: DataFrame) -> list[str]:
-    """Names of the arms, a handful by design."""
-    return [r.arm for r in runs.select("arm").distinct().collect()]
-
-
 def _share(hit) -> F.Column:  # noqa: ANN001
     return F.round(F.avg(F.coalesce(hit, F.lit(False)).cast("int")), 6)
 
 
-def metrics(runs: DataFrame, gold: DataFrame, at: tuple[int, ...] = (1, 3, 5, 10), depth: int = 10) -> DataFrame:
+def metrics(runs: DataFrame, gold: DataFrame, arms: tuple[str, ...], at: tuple[int, ...] = (1, 3, 5, 10), depth: int = 10) -> DataFrame:
     """Share of questions with gold in the first k, and mean reciprocal rank, for every arm."""
-    r = first_ranks(runs, gold, depth)
+    r = first_ranks(runs, gold, depth, arms)
     return r.groupBy("arm").agg(*(_share(F.col("r") <= k).alias(f"r_at_{k}") for k in at), F.round(F.avg(F.coalesce(1 / F.col("r"), F.lit(0.0))), 6).alias("mrr"))
 
 
-def funnel(runs: DataFrame, gold: DataFrame, at: tuple[int, ...] = (1, 5, 10, 30, 50), depth: int = 50) -> DataFrame:
+def funnel(runs: DataFrame, gold: DataFrame, arms: tuple[str, ...], at: tuple[int, ...] = (1, 5, 10, 30, 50), depth: int = 50) -> DataFrame:
     """Metrics by depth, and the shares that never came into the pool and that were lost behind the tenth place."""
-    r = first_ranks(runs, gold, depth)
+    r = first_ranks(runs, gold, depth, arms)
     has, ten = F.avg(F.col("r").isNotNull().cast("int")), F.avg(F.coalesce(F.col("r") <= 10, F.lit(False)).cast("int"))
     return r.groupBy("arm").agg(
         *(_share(F.col("r") <= k).alias(f"r_at_{k}") for k in at), F.round(F.avg(F.coalesce(1 / F.col("r"), F.lit(0.0))), 6).alias("mrr"), F.round(1 - has, 6).alias("missing_from_pool"), F.round(has - ten, 6).alias("lost_later")

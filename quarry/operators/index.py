@@ -46,7 +46,7 @@ def ranked(hits: DataFrame, top_k: int, by: tuple[str, ...] = ("query_id",), dig
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).withColumn("score", F.round("score", digits))
 
 
-def _query_blocks(queries: DataFrame, columns: list[str]) -> Iterator[list]:
+def query_blocks(queries: DataFrame, columns: list[str]) -> Iterator[list]:
     """The queries in parts of about QUERY_BLOCK rows; the driver holds one part at a time."""
     n = queries.count()
     blocks = -(-n // QUERY_BLOCK)
@@ -100,7 +100,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, top_k: int = 50, k1: float = 1.2
     base = slim if stats_of is None else stats_of.select(F.col("chunk_id").cast("long"), "content")
     sc = chunks.sparkSession.sparkContext
     out = None
-    for rows in _query_blocks(queries.where("query_id is not null"), ["query_id", "text"]):
+    for rows in query_blocks(queries.where("query_id is not null"), ["query_id", "text"]):
         terms = [sorted(set(tokenise(r.text))) for r in rows]
         asked: dict[str, list[int]] = defaultdict(list)
         for q, words in enumerate(terms):
@@ -156,7 +156,7 @@ def dense(vectors: DataFrame, queries: DataFrame, top_k: int = 50) -> DataFrame:
     good = "dense is not null and size(dense) > 0 and not exists(dense, x -> x is null)"
     slim = vectors.where(good).select(F.col("chunk_id").cast("long"), F.col("dense").cast("array<double>").alias("dense"))
     out = None
-    for rows in _query_blocks(queries.where(good).where("query_id is not null"), ["query_id", "dense"]):
+    for rows in query_blocks(queries.where(good).where("query_id is not null"), ["query_id", "dense"]):
         sizes = defaultdict(list)
         for r in rows:
             sizes[len(r.dense)].append(r)

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry._session import shared_folder
 from quarry.config import RetrievalSettings
 from quarry.functions import text as X
 from quarry.operators.index import bm25, dense
@@ -23,11 +24,12 @@ def channel(hits: DataFrame, name: str) -> DataFrame:
     return hits.select("query_id", F.lit(name).alias("channel"), "chunk_id", "score", "rank")
 
 
-def rrf(hits: DataFrame, k: int = 60, weights: dict[str, float] | None = None, top_k: int | None = None) -> DataFrame:
+def rrf(hits: DataFrame, k: int = 60, weights: dict[str, float] | None = None, top_k: int | None = None, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """Reciprocal-rank fusion: query_id, chunk_id, score, dense_rank, sparse_rank, dense_score, head_rank, sources, pos.
 
     ``hits`` has query_id, channel, chunk_id, score, rank, one row for each channel and chunk. A channel of
     weight 0 is left out, others weigh 1 unless given. pos orders by (score to 9 digits, descending; chunk_id).
+    ``by`` says what one list of hits belongs to, such as an arm of an experiment and a query.
     """
     if k <= 0:
         raise ValueError("k has to be positive")
@@ -38,7 +40,7 @@ def rrf(hits: DataFrame, k: int = 60, weights: dict[str, float] | None = None, t
     fused = (
         hits.withColumn("w", weight)
         .where("w <> 0")
-        .groupBy("query_id", "chunk_id")
+        .groupBy(*by, "chunk_id")
         .agg(
             F.round(F.sum(F.col("w") / (F.lit(k) + F.col("rank"))), 9).alias("score"),
             F.min(F.when(is_dense, F.col("rank"))).alias("dense_rank"),
@@ -48,7 +50,7 @@ def rrf(hits: DataFrame, k: int = 60, weights: dict[str, float] | None = None, t
             F.array_sort(F.collect_set("channel")).alias("sources"),
         )
     )
-    out = fused.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")))
+    out = fused.withColumn("pos", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "chunk_id")))
     return out.where(F.col("pos") <= top_k) if top_k else out
 
 
@@ -58,7 +60,7 @@ def candidates(fused: DataFrame, settings: RetrievalSettings | None = None) -> D
     return fused.where((F.col("pos") <= s.fused_top_k) | (F.col("head_rank") <= s.channel_head))
 
 
-def rerank(pool: DataFrame, scores: DataFrame | None) -> DataFrame:
+def rerank(pool: DataFrame, scores: DataFrame | None, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """New positions by rerank score (9 digits, descending; chunk_id); those without one follow in fused order.
 
     ``scores`` has query_id, chunk_id, rerank_score; without it (no reranker, or it failed) the order stays.
@@ -67,14 +69,19 @@ def rerank(pool: DataFrame, scores: DataFrame | None) -> DataFrame:
         return pool.withColumn("rerank_score", F.lit(None).cast("double"))
     joined = pool.join(scores.select("query_id", "chunk_id", F.round("rerank_score", 9).alias("rerank_score")), ["query_id", "chunk_id"], "left")
     scored = F.col("rerank_score").isNotNull()
-    order = Window.partitionBy("query_id").orderBy(F.desc(scored), F.desc_nulls_last("rerank_score"), F.when(scored, F.col("chunk_id")).otherwise(F.col("pos")))
+    order = Window.partitionBy(*by).orderBy(F.desc(scored), F.desc_nulls_last("rerank_score"), F.when(scored, F.col("chunk_id")).otherwise(F.col("pos")))
     return joined.withColumn("pos", F.row_number().over(order))
 
 
 def overlap_scores(pool: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """A deterministic reranker: share of the query's distinct tokens that stand in the candidate's text."""
-    texts = pool.select("query_id", "chunk_id").join(chunks.select("chunk_id", "content"), "chunk_id").join(queries.select("query_id", F.array_distinct(X.tokens(F.col("text"))).alias("asked")), "query_id")
-    found = F.size(F.array_intersect("asked", F.array_distinct(X.tokens(F.col("content")))))
+    """A deterministic reranker: share of the query's distinct tokens that stand in the candidate's document text.
+
+    That is ``rerank_document`` of the chunk, with its title and section where the table has them.
+    """
+    text = rerank_document(*(F.col(c) if c in chunks.columns else F.lit("") for c in ("doc_title", "section_path")))
+    pairs = pool.select("query_id", "chunk_id").distinct()
+    texts = pairs.join(chunks.select("chunk_id", text.alias("read")), "chunk_id").join(queries.select("query_id", F.array_distinct(X.tokens(F.col("text"))).alias("asked")), "query_id")
+    found = F.size(F.array_intersect("asked", F.array_distinct(X.tokens(F.col("read")))))
     return texts.select("query_id", "chunk_id", F.round(found / F.greatest(F.size("asked"), F.lit(1)), 9).alias("rerank_score"))
 
 
@@ -93,7 +100,7 @@ def rerank_query(pool: DataFrame, chunks: DataFrame, queries: DataFrame) -> Data
     return queries.join(share, "query_id", "left").select("query_id", "cjk_share", pick.alias("rerank_text"))
 
 
-def rerank_document(title: str = "doc_title", section: str = "section_path", content: str = "content"):
+def rerank_document(title="doc_title", section="section_path", content="content"):  # noqa: ANN001, ANN201
     """The text a reranker reads of a candidate."""
     return F.concat(F.lit("Document: "), F.coalesce(title, F.lit("")), F.lit("\nSection: "), F.coalesce(section, F.lit("")), F.lit("\n"), F.coalesce(content, F.lit("")))
 
@@ -179,6 +186,27 @@ def merge_rounds(previous: DataFrame, fresh: DataFrame, top_k: int) -> DataFrame
     return rows.where(F.col("new_rank") <= 2 * top_k).select("query_id", "chunk_id", F.col("new_rank").alias("rank"))
 
 
+def isolated(channels: dict[str, Callable[[], DataFrame]], failures: dict[str, str] | None = None) -> DataFrame:
+    """The rows of all channels that can be planned and run; what failed is named in ``failures`` with its error.
+
+    Each channel is run on its own into the shared folder (top_k rows a query), so that one that fails
+    leaves the others as they are. If all fail, the last error is raised.
+    """
+    out, error = None, None
+    for name, plan in channels.items():
+        try:
+            rows = channel(plan(), name).checkpoint(eager=True)
+        except Exception as e:  # noqa: BLE001  whatever a channel's provider or plan raises
+            error = e
+            if failures is not None:
+                failures[name] = f"{type(e).__name__}: {e}".splitlines()[0]
+            continue
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        raise error or ValueError("no channel is left")
+    return out
+
+
 def search(
     chunks: DataFrame,
     queries: DataFrame,
@@ -190,32 +218,38 @@ def search(
     use_rerank: bool = True,
     use_translate: bool = True,
     scorer: Scorer | None = None,
+    lexical: Callable[[DataFrame, int, float, float], DataFrame] | None = None,
+    failures: dict[str, str] | None = None,
 ) -> DataFrame:
     """Channels of every query, fused: the columns of ``rrf``.
 
     ``queries`` has query_id and text, and may have translated; blank queries give no rows. A translation
-    adds channels ``*_x`` and never replaces one. A channel without its tables is left out.
+    adds channels ``*_x`` and never replaces one. A channel without its tables is left out; one that fails is
+    left out and named in ``failures``, as is a reranker that fails, whose fused order then stays. ``lexical``
+    searches an index instead of the chunks (as ``LexicalIndex.search``).
     """
     s = settings or RetrievalSettings()
+    shared_folder(chunks.sparkSession)
     queries = queries.where(F.trim(F.coalesce("text", F.lit(""))) != "")
-    runs: list[DataFrame] = []
-    variants = [("", queries.select("query_id", "text"))]
-    if use_translate and "translated" in queries.columns:
-        variants.append(("_x", queries.where("coalesce(translated, '') <> '' and translated <> text").select("query_id", F.col("translated").alias("text"))))
-    for suffix, q in variants:
-        if use_sparse:
-            runs.append(channel(bm25(chunks, q, s.sparse_top_k, s.k1, s.b), "sparse" + suffix))
+    find = lexical or (lambda q, *limits: bm25(chunks, q, *limits))
+    plans: dict[str, Callable[[], DataFrame]] = {}
+    if use_sparse:
+        plans["sparse"] = lambda: find(queries.select("query_id", "text"), s.sparse_top_k, s.k1, s.b)
+        if use_translate and "translated" in queries.columns:
+            other = queries.where("coalesce(translated, '') <> '' and translated <> text").select("query_id", F.col("translated").alias("text"))
+            plans["sparse_x"] = lambda: find(other, s.sparse_top_k, s.k1, s.b)
     if use_dense and vectors is not None and query_vectors is not None:
-        runs.append(channel(dense(vectors, query_vectors.join(queries.select("query_id"), "query_id", "left_semi"), s.dense_top_k), "dense"))
-    if not runs:
-        raise ValueError("no channel is left")
-    hits = runs[0]
-    for r in runs[1:]:
-        hits = hits.unionByName(r)
-    fused = rrf(hits, s.rrf_k)
+        plans["dense"] = lambda: dense(vectors, query_vectors.join(queries.select("query_id"), "query_id", "left_semi"), s.dense_top_k)
+    fused = rrf(isolated(plans, failures), s.rrf_k)
     if use_rerank and scorer is not None:
         pool = candidates(fused, s)
-        fused = rerank(pool, scorer(pool))
+        try:
+            scores = scorer(pool).checkpoint(eager=True)
+        except Exception as e:  # noqa: BLE001  whatever a reranker raises
+            scores = None
+            if failures is not None:
+                failures["rerank"] = f"{type(e).__name__}: {e}".splitlines()[0]
+        fused = rerank(pool, scores)
     return fused
 
 

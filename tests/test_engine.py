@@ -216,7 +216,7 @@ def test_routes(spark):
 def test_metrics(spark):
     runs = spark.createDataFrame([("a", 1, 5, 1), ("a", 1, 6, 2), ("a", 2, 9, 4), ("b", 1, 6, 1)], "arm string, query_id long, chunk_id long, pos int")
     gold = spark.createDataFrame([(1, 6, 1), (2, 9, 1), (3, 7, 1)], "query_id long, chunk_id long, document_id long")
-    got = {r.arm: r for r in evaluation.metrics(runs, gold).collect()}
+    got = {r.arm: r for r in evaluation.metrics(runs, gold, ("a", "b")).collect()}
     assert (got["a"].r_at_1, got["a"].r_at_3, got["a"].r_at_5, got["a"].mrr) == (0.0, 0.333333, 0.666667, 0.25)
     assert (got["b"].r_at_1, got["b"].mrr) == (0.333333, 0.333333)
     golden = spark.createDataFrame([(1, "single_hop"), (1, "single_hop"), (4, "single_hop"), (2, "unanswerable")], "query_id long, type string")
@@ -383,3 +383,57 @@ def test_task_state_fold_reads_whole_messages(spark, tmp_path):
     spark.createDataFrame([(1, 0, "user", said), (2, 0, "user", None)], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     got = {r.thread_id: r.last_user_input for r in state_queries.task_state_fold(spark, str(tmp_path)).collect()}
     assert got[1].endswith(said) and got[2].endswith(" ")
+
+
+# --- index in tables ---------------------------------------------------------------------------
+
+
+def test_lexical_index_follows_its_documents(spark, tmp_path):
+    from quarry.operators.postings import LexicalIndex
+
+    def chunks(*rows):
+        return spark.createDataFrame([(d * 10 + i, d, t) for d, i, t in rows], "chunk_id long, document_id long, content string")
+
+    asked = spark.createDataFrame([(1, "alpha beta"), (2, "gamma gamma 向量"), (3, ""), (4, None), (5, "nowhere")], "query_id long, text string")
+    made = LexicalIndex(spark, str(tmp_path / "index"), buckets=3, segment=2)
+    assert made.search(asked).count() == 0 and made.stats() == (0, 1.0)
+    first = [(1, 0, "alpha alpha beta"), (1, 1, "gamma delta"), (2, 0, "alpha 向量库"), (3, 0, None), (4, 0, "beta beta")]
+    made.add(chunks(*first))
+    now = {}
+    for d, i, t in first:
+        now.setdefault(d, []).append((d, i, t))
+
+    def agree():
+        table = chunks(*(r for rows in now.values() for r in rows))
+        want = sorted(map(tuple, index.bm25(table, asked).collect()))
+        assert sorted(map(tuple, made.search(asked).collect())) == want and want
+        assert made.stats()[0] == table.count() and {r.chunk_id for r in made.directory().collect()} == {r.chunk_id for r in table.collect()}
+
+    agree()
+    made.add(chunks((1, 0, "alpha gamma")))  # in fewer chunks than before
+    now[1] = [(1, 0, "alpha gamma")]
+    agree()
+    made.add(chunks((1, 0, "alpha gamma")))  # again is the same
+    agree()
+    made.remove(spark.createDataFrame([(2,), (99,)], "document_id long"))
+    del now[2]
+    agree()
+    terms = made.term_stats(spark.createDataFrame([("alpha",), ("beta",), ("no",)], "term string")).collect()
+    assert {r.term: (r.df, r.cf) for r in terms} == {"alpha": (1, 1), "beta": (1, 2)}
+    made.remove(spark.createDataFrame([(d,) for d in now], "document_id long"))
+    assert made.search(asked).count() == 0 and made.stats() == (0, 1.0)
+
+
+def test_a_failing_channel_leaves_the_others(spark):
+    table = spark.createDataFrame([(1, 1, "alpha beta", "paragraph"), (2, 2, "beta gamma", "paragraph")], "chunk_id long, document_id long, content string, node_type string")
+    asked = spark.createDataFrame([(7, "beta gamma")], "query_id long, text string")
+    vectors = spark.createDataFrame([(1, [1.0])], "chunk_id long, dense array<double>")
+
+    def broken(*_):
+        raise ConnectionError("no such host")
+
+    failures = {}
+    got = retrieval.search(table, asked, vectors=vectors, query_vectors=vectors, lexical=None, scorer=broken, failures=failures)  # query vectors without ids
+    assert [r.chunk_id for r in got.orderBy("pos").collect()] == [2, 1] and set(failures) == {"dense", "rerank"} and "no such host" in failures["rerank"]
+    with pytest.raises(ConnectionError):
+        retrieval.search(table, asked, lexical=broken)
