@@ -234,14 +234,54 @@ def _possible(size: np.ndarray, counts: np.ndarray, x: np.ndarray, y: np.ndarray
     return ok
 
 
+#: Sizes of shingle sets are counted in classes this factor apart.
+SIZE_STEP = 1.03
+
+
+def size_tiles(classes: list[tuple[int, int, int, int]], tile: int) -> tuple[list[tuple[int, int]], list[int], list[int]]:
+    """Tiles of sets in order of size, for (class, rows, least size, greatest size) in order of class.
+
+    First the tiles of each class (first tile, number of tiles); then for each tile the first and the last one
+    whose sets can be similar to its own: the smaller of two similar sets has NEAR_PARTS of the larger at least.
+    Small classes share a tile; one of more than ``tile`` rows is cut into several.
+    """
+    p, q = NEAR_PARTS
+    places: list[tuple[int, int]] = []
+    least, most = [], []
+    room = 0
+    for _, rows, low, high in classes:
+        if rows <= room:
+            room -= rows
+            most[-1] = high
+            places.append((len(most) - 1, 1))
+        else:
+            cut = -(-rows // tile)
+            places.append((len(most), cut))
+            least += [low] * cut
+            most += [high] * cut
+            room = tile - rows if cut == 1 else 0
+    first = [next(i for i in range(t + 1) if p * least[t] <= q * most[i]) for t in range(len(most))]
+    last = [max(j for j in range(t, len(most)) if p * least[j] <= q * most[t]) for t in range(len(most))]
+    return places, first, last
+
+
 def possible_links(distinct: DataFrame, radius: int = NEAR_RADIUS, tile: int = TILE) -> DataFrame:
     """Links (a, b) that keep the components over pairs within ``radius`` bits that may be similar enough.
 
-    ``distinct`` has node, fp, size and counts. A wide radius spans nearly all population counts, so tiles
-    are cut by hash, and every tile meets every other and itself.
+    ``distinct`` has node, fp, size and counts. A wide radius spans nearly all population counts, so tiles are
+    cut along the size of the shingle sets: sets whose sizes differ by more than a quarter are never similar,
+    and their tiles never meet. The driver plans over a few hundred classes of sizes.
     """
-    tiles = max(1, -(-distinct.count() // tile))
-    numbered = distinct.select("node", "fp", "size", "counts", F.pmod(F.xxhash64("node"), F.lit(tiles)).cast("int").alias("tile"))
+    which = F.floor(F.log(SIZE_STEP, F.col("size") + 1)).cast("int")
+    classes = sorted((r.c, r.n, r.low, r.high) for r in distinct.groupBy(which.alias("c")).agg(F.count("*").alias("n"), F.min("size").alias("low"), F.max("size").alias("high")).collect())
+    if not classes:
+        return distinct.sparkSession.createDataFrame([], "a long, b long")
+    places, first, last = size_tiles(classes, tile)
+    at = {c: place for (c, *_), place in zip(classes, places, strict=True)}
+    pick = lambda values, index: F.element_at(F.array(*(F.lit(int(v)) for v in values)), index + 1)
+    every = range(classes[-1][0] + 1)
+    own = pick([at.get(c, (0, 1))[0] for c in every], which) + F.pmod(F.xxhash64("node"), pick([at.get(c, (0, 1))[1] for c in every], which)).cast("int")
+    numbered = distinct.select("node", "fp", "size", "counts", own.alias("tile"))
 
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("side", kind="stable")
@@ -260,7 +300,7 @@ def possible_links(distinct: DataFrame, radius: int = NEAR_RADIUS, tile: int = T
         out = np.flatnonzero(root != np.arange(len(root)))
         return pd.DataFrame({"a": node[out], "b": node[root[out]]})
 
-    return tiled(numbered, tiles).groupBy("i", "j").applyInPandas(compare, "a long, b long")
+    return tiled(numbered, len(first), pick(first, F.col("tile")), pick(last, F.col("tile"))).groupBy("i", "j").applyInPandas(compare, "a long, b long")
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -364,7 +404,9 @@ def near_groups(docs: DataFrame, radius: int = NEAR_RADIUS, tile: int = TILE, gr
                 own = np.unique(shingle_hashes(words, NEAR_SHINGLE).astype(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array([_node(words)], pa.int64()), pa.array([own.tobytes()], pa.binary())], names=["node", "shingles"])
 
-    texts = map_text(docs.join(maybe.select("doc_id").distinct(), "doc_id", "left_semi").select("text"), shingles, "node long, shingles binary")
+    wanted = materialise(maybe.select("doc_id").distinct())
+    read = docs.join(F.broadcast(wanted) if wanted.count() <= SENT_IDS else wanted, "doc_id", "left_semi")  # up to so many ids, no text is shuffled
+    texts = map_text(read.select("text"), shingles, "node long, shingles binary")
     texts = texts.groupBy("node").agg(F.first("shingles").alias("shingles"))
     linked = connected(verified_links(maybe.select("root", "node", "fp"), texts, radius, group))
     named = materialise(distinct.select("node", "doc_id").join(linked, "node", "left").withColumn("near", F.coalesce("root", "node")))

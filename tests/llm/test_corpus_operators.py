@@ -104,6 +104,25 @@ def plain_shingles(text):
     return {" ".join(w[i : i + 5]) for i in range(len(w) - 4)} or {" ".join(w)}
 
 
+@given(st.lists(st.integers(0, 400), min_size=1, max_size=80), st.integers(1, 9))
+def test_tiles_of_sizes_let_similar_sets_meet(sizes, tile):
+    classes = defaultdict(list)
+    for x in sizes:
+        classes[int(np.log(x + 1) / np.log(simhash.SIZE_STEP))].append(x)
+    rows = [(c, len(v), min(v), max(v)) for c, v in sorted(classes.items())]
+    places, first, last = simhash.size_tiles(rows, tile)
+    held = Counter()
+    own = {c: range(t, t + n) for (c, *_), (t, n) in zip(rows, places, strict=True)}
+    for (c, n, *_), (t, cut) in zip(rows, places, strict=True):
+        held[t] += n
+        assert cut == 1 or -(-n // cut) <= tile
+    assert all(n <= tile for t, n in held.items() if sum(t in r for r in own.values()) > 1)
+    for a, v in classes.items():
+        for b, w in classes.items():
+            if any(5 * min(x, y) >= 4 * max(x, y) for x in v for y in w):
+                assert all(first[max(i, j)] <= min(i, j) and last[min(i, j)] >= max(i, j) for i in own[a] for j in own[b])
+
+
 def test_pipeline_drops_near_copies_by_shingles(spark):
     rng = random.Random(8)
     texts = []
