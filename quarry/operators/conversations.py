@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterable
 
@@ -27,6 +28,8 @@ CONSTRAINTS = (
     ("term:下学期", "下学期"),
     ("requirement:无课表冲突", "不冲突|不会.*冲突|冲突.*不会"),
 )
+#: Characters of a follow-up, and of one after a question of the assistant, at most.
+FOLLOW_MOST, WAITING_MOST = 40, 80
 FOLLOW_UP = "那|呢|这个|课程|时间|机器学习|人工智能|学分"
 EXPLICIT_CORPUS = "知识库|已上传|上传的.{0,8}(?:文档|资料|论文)|根据.{0,12}(?:文档|资料|论文)|(?:文档|论文|手册|规定)中"
 SCHOOL, POLICY = "学校|本校|校规|教务|学籍|培养方案", "规定|要求|重修|补考|毕业|学分|选课|退课|考试|成绩|奖学金|处分|请假|宿舍"
@@ -95,14 +98,19 @@ def _classify(text: str) -> str:
     return next((name for name, p in TASKS if re.search(p, text)), "general")
 
 
-def fold_turns(questions: Iterable[str]) -> dict:
-    """State of a task after the user's turns of one thread: a turn of the same kind, or a follow-up, goes on with it."""
+def fold_turns(questions: Iterable[str], answers: Iterable[str | None] = ()) -> dict:
+    """State of a task after the user's turns of one thread: a turn of the same kind, or a follow-up, goes on with it.
+
+    ``answers`` says what the assistant said before each question (null: nothing). A short turn of no kind of
+    its own is a follow-up if it has a word of one, or if the assistant's last words asked for something.
+    """
     state: dict = {"task_type": "general", "goal": None, "constraints": [], "slots": {}, "turn_count": 0, "last_user_input": None}
-    for q in questions:
+    for q, before in itertools.zip_longest(questions, answers):
         text = (q or "").casefold()
         kind = _classify(text)
         short = text.strip()
-        follows = kind == "general" and len(short) <= 40 and re.search(FOLLOW_UP, short)
+        waiting = (before or "").rstrip().endswith(("?", "？"))
+        follows = kind == "general" and (len(short) <= FOLLOW_MOST and re.search(FOLLOW_UP, short) or waiting and len(short) <= WAITING_MOST)
         if state["turn_count"] and (kind == state["task_type"] or follows):
             state["turn_count"] += 1
         else:
@@ -120,17 +128,37 @@ def fold_turns(questions: Iterable[str]) -> dict:
 def fold_tasks(messages: DataFrame) -> DataFrame:
     """thread_id, task_type, goal, constraints, turn_count and last_user_input after each thread's user messages.
 
-    The fold depends on the order of turns, so a thread is one group; its memory is that of the thread's
-    own questions.
+    What a turn is (its kind, its constraints, whether it follows) is decided row by row in the JVM, with the
+    assistant's words before it; only those few values are folded in order, so a long thread is a group of
+    short rows whose texts were left behind, but for its goal and its last question.
     """
     workers_see_package(messages.sparkSession)
+    thread = Window.partitionBy("thread_id").orderBy("seq")
+    said = F.last(F.when(F.col("role") == "assistant", F.coalesce("text", F.lit(""))), True).over(thread.rowsBetween(Window.unboundedPreceding, -1))
+    asked = F.max(F.when(F.col("role") == "user", F.col("seq"))).over(thread.rowsBetween(Window.unboundedPreceding, -1))
+    talk = messages.where("thread_id is not null and role in ('user', 'assistant')").withColumn("said_seq", F.max(F.when(F.col("role") == "assistant", F.col("seq"))).over(thread.rowsBetween(Window.unboundedPreceding, -1)))
+    talk = talk.withColumn("before", F.when(F.coalesce(F.col("said_seq") > asked, F.lit(True)), said))
+    text = F.coalesce("text", F.lit(""))
+    short = F.trim(F.lower(text))
+    waiting = F.coalesce(F.rtrim(F.col("before")).rlike("[?？]$"), F.lit(False))
+    follows = ((F.char_length(short) <= FOLLOW_MOST) & short.rlike(FOLLOW_UP)) | (waiting & (F.char_length(short) <= WAITING_MOST))
+    kind = classify(text)
+    turns = talk.where("role = 'user'").select("thread_id", "seq", kind.alias("kind"), (follows & (kind == "general")).alias("follows"), constraints(text).alias("stated"))
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        s = fold_turns(rows.sort_values("seq")["text"])
-        return pd.DataFrame({"thread_id": rows["thread_id"].iloc[:1].to_numpy(), "task_type": [s["task_type"]], "goal": [s["goal"]], "constraints": [s["constraints"]], "turn_count": [s["turn_count"]], "last_user_input": [s["last_user_input"]]})
-
-    user = messages.where("role = 'user' and thread_id is not null").select("thread_id", "seq", "text")
-    return user.groupBy("thread_id").applyInPandas(fold, "thread_id long, task_type string, goal string, constraints array<string>, turn_count int, last_user_input string")
+        now, goal, count, held = None, None, 0, []
+        for kind, follows, stated, seq in zip(*(rows.sort_values("seq")[c] for c in ("kind", "follows", "stated", "seq")), strict=True):
+            if now is not None and (kind == now or follows):
+                count += 1
+            else:
+                now, goal, count, held = kind, seq, 1, []
+            held += [x for x in stated if x not in held]
+        return pd.DataFrame({"thread_id": rows["thread_id"].iloc[:1].to_numpy(), "task_type": [now], "goal_seq": [goal], "constraints": [held], "turn_count": [count], "last_seq": [rows["seq"].max()]})
+
+    folded = turns.groupBy("thread_id").applyInPandas(fold, "thread_id long, task_type string, goal_seq long, constraints array<string>, turn_count int, last_seq long")
+    texts = messages.where("role = 'user'").select("thread_id", "seq", "text")
+    one = lambda seq, name: texts.select("thread_id", F.col("seq").alias(seq), F.col("text").alias(name))
+    return folded.join(one("goal_seq", "goal"), ["thread_id", "goal_seq"]).join(one("last_seq", "last_user_input"), ["thread_id", "last_seq"]).select("thread_id", "task_type", "goal", "constraints", "turn_count", "last_user_input")
 
 
 def type_after_tool(tool: Column, current: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry._session import workers_see_package
@@ -15,6 +15,10 @@ from quarry.functions import text as X
 PERMANENT = ("ingestion_error", "unprocessable_document")
 
 
+#: Buckets of keys that are numbered apart when new jobs get their ids.
+ID_BUCKETS = 64
+
+
 def due(jobs: DataFrame, now) -> DataFrame:  # noqa: ANN001
     """Queued jobs whose time has come."""
     return jobs.where((F.col("status") == "queued") & (F.col("next_run_at") <= F.lit(now)))
@@ -80,8 +84,10 @@ def enqueue(jobs: DataFrame, new: DataFrame, alive: DataFrame, now) -> DataFrame
     kept = j.select(*(F.when(again, reset[c]).otherwise(F.col(c)).alias(c) if c in reset else F.col(c) for c in jobs.columns))
     base = jobs.agg(F.coalesce(F.max("job_id"), F.lit(0)).alias("__last"))
     fresh = asked.join(jobs.select("idempotency_key"), "idempotency_key", "left_anti").crossJoin(F.broadcast(base))
-    # ids by hash order would need one task; they only have to be new and stable
-    fresh = fresh.withColumn("job_id", F.col("__last") + 1 + F.pmod(F.xxhash64("idempotency_key"), F.lit(1 << 50)))
+    # ranks within a bucket of keys, interleaved: new, without collisions, and no task orders all requests
+    bucket = F.pmod(F.xxhash64("idempotency_key"), F.lit(ID_BUCKETS))
+    fresh = fresh.withColumn("__bucket", bucket).withColumn("__n", F.row_number().over(Window.partitionBy("__bucket").orderBy("idempotency_key")))
+    fresh = fresh.withColumn("job_id", F.col("__last") + 1 + (F.col("__n") - 1) * ID_BUCKETS + F.col("__bucket"))
     defaults = {"status": F.lit("queued"), "attempt": F.lit(0), "max_attempts": F.lit(QueueSettings().max_attempts), "priority": F.lit(0), "next_run_at": F.lit(now), "payload": F.col("__payload"), "job_id": F.col("job_id"), "idempotency_key": F.col("idempotency_key")}
     return kept.unionByName(fresh.select(*(defaults.get(c, F.lit(None)).cast(jobs.schema[c].dataType).alias(c) for c in jobs.columns)))
 

@@ -65,39 +65,64 @@ def sse_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUESTIONS = ("我距离毕业还差多少学分", "推荐几门人工智能方向的课", "我的成绩怎么样", "下学期课表时间冲突吗", "考试在哪个考场", "学校的重修规定是什么", "hello AI", "选课要不冲突，机器学习", "那门课程呢", "machine learning papers")
 
 
-def questions(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """User messages, each with one of the fixed questions in front, so that every kind occurs; their first 20 characters, as the SQL has them, or the whole."""
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User messages, each with one of the fixed questions in front, so that every kind occurs."""
     c = table(spark, sf_dir, "conversations").where("role = 'user'")
     given = F.array(*map(F.lit, QUESTIONS))
-    return c.select("conv_id", "turn", F.concat(F.element_at(given, (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(QUESTIONS))) + 1).cast("int")), F.lit(" "), F.coalesce("text", F.lit("")) if whole else F.substring("text", 1, 20)).alias("q"))
+    return c.select("conv_id", "turn", F.concat(F.element_at(given, (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(QUESTIONS))) + 1).cast("int")), F.lit(" "), F.coalesce("text", F.lit(""))).alias("q"))
 
 
-ASKED = "q AS (SELECT conv_id, turn, (" + repr(list(QUESTIONS)) + f")[(conv_id + turn) % {len(QUESTIONS)} + 1] || ' ' || substr(text, 1, 20) AS q FROM conversations WHERE role = 'user')"
+ASKED = "q AS (SELECT conv_id, turn, (" + repr(list(QUESTIONS)) + f")[(conv_id + turn) % {len(QUESTIONS)} + 1] || ' ' || coalesce(text, '') AS q FROM conversations WHERE role = 'user')"
+KIND = "CASE " + " ".join(f"WHEN regexp_matches(lower(q), '{p}') THEN '{n}'" for n, p in conversations.TASKS) + " ELSE 'general' END"
+#: DuckDB's word boundaries know ASCII letters alone
+BORDERED = [(n, p.replace(r"\bai\b", r"(?:^|[^\p{L}\p{N}_])ai(?:$|[^\p{L}\p{N}_])")) for n, p in conversations.CONSTRAINTS]
+STATED = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(q), '(?s){p}') THEN '{n}' END" for n, p in BORDERED) + "], lambda x: x IS NOT NULL)"
 
 
 @query(
-    "WITH " + ASKED + " SELECT conv_id, turn, CASE " + " ".join(f"WHEN regexp_matches(lower(q), '{p}') THEN '{n}'" for n, p in conversations.TASKS)
-    + f" ELSE 'general' END AS task_type, regexp_matches(q, '{conversations.EXPLICIT_CORPUS}') OR (regexp_matches(q, '{conversations.SCHOOL}') AND regexp_matches(q, '{conversations.POLICY}')) OR (contains(q, '毕业') AND contains(q, '学分')) AS needs_documents FROM q"
+    f"WITH {ASKED} SELECT conv_id, turn, {KIND} AS task_type, regexp_matches(q, '{conversations.EXPLICIT_CORPUS}') OR (regexp_matches(q, '{conversations.SCHOOL}') AND regexp_matches(q, '{conversations.POLICY}')) OR (contains(q, '毕业') AND contains(q, '学分')) AS needs_documents FROM q"
 )
 def task_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kind of task of questions, and whether documents have to be searched."""
     return questions(spark, sf_dir).select("conv_id", "turn", conversations.classify(F.col("q")).alias("task_type"), conversations.requires_knowledge(F.col("q")).alias("needs_documents"))
 
 
-@query(
-    "WITH " + ASKED + " SELECT conv_id, turn, coalesce(list_aggregate(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(q), '(?s){p}') THEN '{n}' END" for n, p in conversations.CONSTRAINTS)
-    + "], lambda x: x IS NOT NULL), 'string_agg', ','), '') AS constraints FROM q"
-)
+@query(f"WITH {ASKED} SELECT conv_id, turn, coalesce(list_aggregate({STATED}, 'string_agg', ','), '') AS constraints FROM q")
 def constraint_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Constraints that questions state."""
     return questions(spark, sf_dir).select("conv_id", "turn", F.array_join(conversations.constraints(F.col("q")), ",").alias("constraints"))
 
 
-@query()
+#: short follow-ups, which carry on what stands; every third question is one
+FOLLOW = ("那门课程呢", "ok then", "yes, that one")
+
+
+@query(f"""
+WITH RECURSIVE said AS (
+  SELECT conv_id, turn, role, CASE WHEN role = 'assistant' THEN coalesce(text, '') || CASE WHEN turn % 4 = 1 THEN ' ?' ELSE '' END
+    WHEN (conv_id + turn) % 3 = 0 THEN ({list(FOLLOW)})[turn % 3 + 1]
+    ELSE ({list(QUESTIONS)})[(conv_id + turn) % {len(QUESTIONS)} + 1] || ' ' || coalesce(text, '') END AS q FROM conversations WHERE role IN ('user', 'assistant')),
+before AS (SELECT *, lag(role) OVER w AS r0, lag(q) OVER w AS q0 FROM said WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+t AS (SELECT conv_id, q, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, {KIND} AS kind, {STATED} AS stated,
+  {KIND} = 'general' AND ((length(trim(q)) <= {conversations.FOLLOW_MOST} AND regexp_matches(lower(q), '{conversations.FOLLOW_UP}')) OR (coalesce(r0 = 'assistant' AND regexp_matches(rtrim(q0), '[?？]$'), false) AND length(trim(q)) <= {conversations.WAITING_MOST})) AS follows
+  FROM before WHERE role = 'user'),
+f AS (
+  SELECT conv_id, n, kind AS task_type, q AS goal, stated AS held, 1 AS turn_count, q AS last_q FROM t WHERE n = 1
+  UNION ALL
+  SELECT t.conv_id, t.n, CASE WHEN kind = task_type OR follows THEN task_type ELSE kind END, CASE WHEN kind = task_type OR follows THEN goal ELSE q END,
+    CASE WHEN kind = task_type OR follows THEN list_concat(held, list_filter(stated, lambda x: NOT list_contains(held, x))) ELSE stated END,
+    CASE WHEN kind = task_type OR follows THEN turn_count + 1 ELSE 1 END, q FROM f JOIN t ON t.conv_id = f.conv_id AND t.n = f.n + 1)
+SELECT conv_id AS thread_id, task_type, sha256(goal) AS goal, array_to_string(held, ',') AS constraints, turn_count, sha256(last_q) AS last_user_input
+FROM (SELECT *, max(n) OVER (PARTITION BY conv_id) AS top FROM f) WHERE n = top""")
 def task_state_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """State of every thread's task after its questions; an ordered fold, tested against a plain one."""
-    q = questions(spark, sf_dir, whole=True).select(F.col("conv_id").alias("thread_id"), F.col("turn").alias("seq"), F.lit("user").alias("role"), F.col("q").alias("text"))
-    return conversations.fold_tasks(q).withColumn("constraints", F.array_join("constraints", ","))
+    """State of every thread's task after its questions; the assistant asks back now and then."""
+    c = table(spark, sf_dir, "conversations").where("role in ('user', 'assistant')")
+    of = lambda values, i: F.element_at(F.array(*map(F.lit, values)), (i + 1).cast("int"))
+    text, at = F.coalesce("text", F.lit("")), F.col("conv_id") + F.col("turn")
+    said = F.when(F.col("role") == "assistant", F.concat(text, F.when(F.col("turn") % 4 == 1, " ?").otherwise("")))
+    said = said.when(at % 3 == 0, of(FOLLOW, F.col("turn") % 3)).otherwise(F.concat(of(QUESTIONS, F.pmod(at, F.lit(len(QUESTIONS)))), F.lit(" "), text))
+    out = conversations.fold_tasks(c.select(F.col("conv_id").alias("thread_id"), F.col("turn").alias("seq"), "role", said.alias("text")))
+    return out.select("thread_id", "task_type", F.sha2("goal", 256).alias("goal"), F.array_join("constraints", ",").alias("constraints"), "turn_count", F.sha2("last_user_input", 256).alias("last_user_input"))
 
 
 @query(r"""
@@ -111,15 +136,15 @@ def citation_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CITED = r"""
-a AS (SELECT conv_id * 100 + turn AS query_id, list_distinct([2, turn % 9, 7]) AS ns FROM conversations WHERE role = 'assistant'),
-e AS (SELECT conv_id * 100 + c.turn AS query_id, unnest(range(1, 5)) AS rank FROM conversations c WHERE role = 'assistant'),
+a AS (SELECT conv_id * 1048576 + turn AS query_id, list_distinct([2, turn % 9, 7]) AS ns FROM conversations WHERE role = 'assistant'),
+e AS (SELECT conv_id * 1048576 + c.turn AS query_id, unnest(range(1, 5)) AS rank FROM conversations c WHERE role = 'assistant'),
 n AS (SELECT query_id, unnest(ns) AS rank FROM a)
 """
 
 
 def cited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Answers with cited numbers, and four pieces of evidence for each: quarters of the message itself."""
-    c = table(spark, sf_dir, "conversations").where("role = 'assistant'").withColumn("query_id", F.col("conv_id") * 100 + F.col("turn"))
+    c = table(spark, sf_dir, "conversations").where("role = 'assistant'").withColumn("query_id", F.col("conv_id") * 1048576 + F.col("turn"))
     answer = F.concat(F.coalesce("text", F.lit("")), F.lit(" [2] ["), (F.col("turn") % 9).cast("string"), F.lit("] [2] [7]"))
     part = F.ceil(F.char_length("text") / 4).cast("int")
     piece = F.explode(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.struct(i.alias("rank"), F.substr(F.col("text"), (i - 1) * part + 1, part).alias("content"))))
