@@ -14,7 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.config import EPOCH, ChunkSettings, RetrievalSettings
-from quarry.operators import answers, chunking, index, retrieval
+from quarry.operators import answers, chunking, index, lookups, retrieval
+from quarry.operators.agent import Tool
+from quarry.operators.answering import State, answer_all
+from quarry.operators.tools import Records, academic_tools, knowledge_tool
 from quarry.providers import HashEmbedder, NoGenerator
 from quarry.sources import files
 
@@ -168,6 +171,37 @@ class Engine:
         """Live documents, newest ids first, one page."""
         return live(self.table("documents")).where(F.col("tenant_id") == self.tenant_id).orderBy(F.desc("document_id")).offset(offset).limit(limit)
 
+    def document(self, document_id: int) -> dict | None:
+        """A live document of this tenant as plain values; null if there is none."""
+        row = self._own("documents").where(F.col("document_id") == document_id).first()
+        return row.asDict(recursive=True) if row else None
+
+    def by_hash(self, sha256: str) -> dict | None:
+        """The newest live document with these bytes."""
+        row = self._own("documents").where(F.col("sha256") == sha256).orderBy(F.desc("document_id")).first()
+        return row.asDict(recursive=True) if row else None
+
+    def chunks_in_order(self, ids: list[int]) -> DataFrame:
+        """Live chunks of the given ids, in their order (ord)."""
+        asked = self.spark.createDataFrame([(1, ids)], "query_id long, ids array<long>")
+        return lookups.in_order(asked, self._own("chunks"), "chunk_id").drop("query_id").orderBy("ord")
+
+    def counts(self) -> dict:
+        """Live documents and chunks, and vectors whether they are active or not."""
+        return {"documents": self._own("documents").count(), "chunks": self._own("chunks").count(), "vectors": self.table(self.index_name).where(F.col("tenant_id") == self.tenant_id).count()}
+
+    def _own(self, name: str) -> DataFrame:
+        return live(self.table(name)).where(F.col("tenant_id") == self.tenant_id)
+
+    def tools(self, read: Records | None = None) -> list[Tool]:
+        """What an agent may call here: the documents, and the records if there are any."""
+        return [knowledge_tool(self.retrieve, self.spark), *(academic_tools(read) if read else [])]
+
+    def answer(self, questions: dict[int, str], histories: dict[int, list[dict]] | None = None, rewrites: int = 2, top_k: int = 5) -> list[State]:
+        """Many questions at once, with grading and new wordings if there is a model."""
+        states = [State(i, self.checked(q, top_k), q.strip(), (histories or {}).get(i, [])) for i, q in sorted(questions.items())]
+        return answer_all(self.spark, states, lambda q: self.retrieve(q, top_k), self.generator, rewrites, top_k)
+
     def health(self) -> dict:
         return {"status": "ok"}
 

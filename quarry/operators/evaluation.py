@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
@@ -93,3 +93,26 @@ def oversampling(hits: DataFrame, corpus: DataFrame) -> DataFrame:
     flag = X.is_reference_entry(F.col("content")).cast("double")
     base = corpus.agg(F.avg(flag).alias("corpus_share"))
     return hits.groupBy("found").agg(F.avg(flag).alias("share")).join(F.broadcast(base)).withColumn("ratio", F.col("share") / F.nullif(F.col("corpus_share"), F.lit(0.0)))
+
+
+def refusal_causes(refused: DataFrame, gold: DataFrame, hits: DataFrame, depth: int = 5) -> DataFrame:
+    """Refused questions (query_id) that have gold, and how many of them had none of it among their first hits."""
+    wrong = refused.join(gold.select("query_id").distinct(), "query_id", "left_semi")
+    found = hits.where(F.col("rank") <= depth).join(gold, ["query_id", "chunk_id"], "left_semi").select("query_id").distinct().withColumn("found", F.lit(True))
+    return wrong.join(found, "query_id", "left").agg(F.count("*").alias("false_refusals"), F.count_if(F.col("found").isNull()).alias("not_retrieved"))
+
+
+def channel_health(hits: DataFrame, top_k: int) -> DataFrame:
+    """Of each arm: questions with hits, hits for each, mean of the best scores, and lists that are full."""
+    return hits.groupBy("arm").agg(
+        F.count_distinct("query_id").alias("answered"), F.round(F.count("*") / F.count_distinct("query_id"), 6).alias("mean_hits"),
+        F.round(F.avg(F.when(F.col("rank") == 1, F.col("score"))), 6).alias("mean_top_score"), F.count_if(F.col("rank") == top_k).alias("full_lists"),
+    )
+
+
+def without_chunks(run: DataFrame, bad: DataFrame) -> DataFrame:
+    """A run as arm ``before``, and as ``after`` without some chunks, positions closed up."""
+    left = run.join(bad.select("chunk_id"), "chunk_id", "left_anti")
+    left = left.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy("pos")))
+    arm = lambda df, name: df.select(F.lit(name).alias("arm"), "query_id", "chunk_id", F.col("pos").cast("int").alias("pos"))
+    return arm(run, "before").unionAll(arm(left, "after"))

@@ -127,6 +127,126 @@ def test_engine(spark, tmp_path):
     assert e.reindex("green") == n and e.collection == "main"
     assert e.reindex("green", dry_run=False) == n and e.collection == "green"
     doc = e.documents().where("status = 'ready'").first().document_id
+    one = e.document(doc)
+    assert one["status"] == "ready" and e.by_hash(one["sha256"])["document_id"] == doc and e.document(-5) is None and e.by_hash("none") is None
+    ids = [r.chunk_id for r in e.table("chunks").orderBy(F.desc("chunk_id")).collect()]
+    assert [(r.chunk_id, r.ord) for r in e.chunks_in_order([ids[1], -9, ids[0]]).collect()] == [(ids[1], 0), (ids[0], 2)] and e.counts() == {"documents": 3, "chunks": n, "vectors": n}
+    said = e.answer({1: "how many jobs does the queue hold", 2: "granular balls"})
+    assert [(x.route, x.verified) for x in said] == [("generate", True)] * 2 and "twenty" in said[0].answer
+    assert [t.name for t in e.tools()] == ["search_knowledge"] and agent.call_tool({t.name: t for t in e.tools()}, "search_knowledge", {"query": "granular balls"}, {})["data"]["count"] >= 1
     assert e.delete_document(doc) == n
     assert e.documents().where("status = 'ready'").count() == 0 and e.retrieve(q).count() == 0
     assert e.ingest(str(source), "*.md").count() == 1 and e.retrieve(q).where(F.col("query_id") == 1).count() > 0
+
+
+# --- tools, answers in rounds, worker, providers ---------------------------------------------------
+
+
+def academic(spark):
+    from quarry.operators.tools import Records
+
+    times = "array<struct<weekday:int,start_time:string,end_time:string,weeks:array<int>,location:string>>"
+    c = spark.createDataFrame(
+        [(1, "K1", "BIO-9", "Cell biology", 3.0, "t1", "core", "life", "", [(2, "10:00", "11:30", [1, 2, 3], "A")]), (1, "K2", "BIO-10", "Genetics", 4.0, "t1", "free", "life", "", [(4, "08:00", "09:00", [], "B")]), (2, "K3", "ART-1", "Drawing", 2.0, "t1", "free", "art", "", [])],
+        f"tenant_id int, course_id string, course_code string, name string, credits double, term string, category string, department string, description string, meeting_times {times}",
+    )
+    g = spark.createDataFrame([(1, "u", "t1", "BIO-9", "passed", 3.0), (1, "v", "t1", "BIO-9", "failed", 3.0)], "tenant_id int, student_id string, term string, course_code string, status string, credits double")
+    s = spark.createDataFrame([(1, "u", "X", "CHE-2", "Lab", "t1", [(2, "11:00", "12:00", [3, 4], "C")])], f"tenant_id int, student_id string, course_id string, course_code string, course_name string, term string, meeting_times {times}")
+    e = spark.createDataFrame([(1, "u", "CHE-2", "t1")], "tenant_id int, student_id string, course_code string, term string").withColumns({"start_at": F.to_timestamp(F.lit("2030-01-02 09:00:00")), "end_at": F.to_timestamp(F.lit("2030-01-02 11:00:00"))})
+    return Records(c, g, s, e)
+
+
+def test_academic_tools(spark):
+    from quarry.operators import tools as T
+
+    made = {t.name: t for t in T.academic_tools(academic(spark))}
+    u = {"tenant_id": 1, "student_id": "u"}
+    call = lambda name, a, c=u: agent.call_tool(made, name, a, c)
+    found = call("search_courses", {"keyword": "bio", "credit_min": 3, "limit": 5})
+    assert found["success"] and [r["course_code"] for r in found["data"]["courses"]] == ["BIO-10", "BIO-9"] and found["data"]["count"] == 2
+    assert call("search_courses", {"keyword": "drawing"})["data"]["count"] == 0  # another tenant's
+    assert [r["status"] for r in call("query_grades", {})["data"]["grades"]] == ["passed"] and "tenant_id" not in call("query_grades", {})["data"]["grades"][0]
+    assert call("query_schedule", {"term": "t1"})["data"]["count"] == 1 and call("query_schedule", {"term": "t9"})["data"]["count"] == 0
+    assert call("query_exam", {"after": "2030-01-01"})["data"]["exams"][0]["start_at"] == "2030-01-02T09:00:00"
+    clash = {r["course_id"]: r for r in call("check_schedule_conflict", {"course_ids": ["K1", "K2", "no"]})["data"]["results"]}
+    assert clash["K1"]["has_conflict"] and clash["K1"]["conflicts"][0]["overlaps"][0]["weeks"] == [3] and clash["K2"]["has_conflict"] is False and clash["no"]["found"] is False
+    for name, arguments in (("search_courses", {"limit": 0}), ("search_courses", {"colour": "red"}), ("query_grades", {"term": 3}), ("check_schedule_conflict", {}), ("check_schedule_conflict", {"course_ids": []})):
+        assert call(name, arguments)["error"]["code"] == "invalid_arguments", name
+    assert call("query_grades", {}, {"tenant_id": 1})["success"] is False
+    assert T.schema_of("check_schedule_conflict")["required"] == ["course_ids"]
+
+
+def test_knowledge_tool(spark):
+    from quarry.operators import tools as T
+
+    rows = spark.createDataFrame([(1, i, i * 10, 7, "Guide · Part 2 · p3", f"text {i}", 0.5) for i in (1, 2, 3)], "query_id long, rank int, chunk_id long, document_id long, label string, content string, score double")
+    tool = {"search_knowledge": T.knowledge_tool(lambda q, k: rows, spark)}
+    got = agent.call_tool(tool, "search_knowledge", {"query": " what ", "top_k": 2}, {})
+    assert [(c["chunk_id"], c["title"]) for c in got["data"]["chunks"]] == [(10, "Guide"), (20, "Guide")] and got["data"]["count"] == 2
+    assert agent.call_tool(tool, "search_knowledge", {"query": "x", "top_k": 99}, {})["error"]["code"] == "invalid_arguments"
+
+
+def test_answers_in_rounds(spark):
+    from quarry.operators import answering as A
+    from quarry.providers import NoGenerator
+
+    def retrieve(queries):
+        known = {"red": [(1, 5, "red is a colour")], "blue": [(1, 6, "blue is a colour")], "grey": [(1, 7, "grey, perhaps")]}
+        return spark.createDataFrame([(r.query_id, rank, chunk, text) for r in queries.collect() for rank, chunk, text in known.get(r.text.split()[-1], [])], "query_id long, rank int, chunk_id long, content string")
+
+    plain = A.answer_all(spark, [A.State(1, "what is red", ""), A.State(2, "what is nothing", "")], retrieve, NoGenerator())
+    assert [(s.route, s.verified, s.tries) for s in plain] == [("generate", True, 0), ("refuse", True, 1)] and plain[0].answer == "red is a colour [1]"
+    said = lambda *texts: ScriptedGenerator([{"content": t} for t in texts])
+    (s,) = A.answer_all(spark, [A.State(1, "the shade of grey", "")], retrieve, said('{"verdict": "insufficient"}', "tell me about blue", '{"verdict": "sufficient"}', "Blue [2], not [7]."))
+    assert (s.route, s.tries, s.citations, s.invalid, s.verified) == ("generate", 1, [2], [7], False) and [c["chunk_id"] for c in s.chunks] == [7, 6]
+    (s,) = A.answer_all(spark, [A.State(1, "the shade of grey", "")], retrieve, said('{"verdict": "insufficient"}', "the shade of grey"))  # no new wording
+    assert s.route == "refuse" and s.verified
+    (s,) = A.answer_all(spark, [A.State(1, "and that one", "", [{"role": "user", "content": "colours"}])], retrieve, said("what is red", "no json", "no json", "Red [1]."))
+    assert s.query == "what is red" and s.answer == "Red [1]." and s.verified and any(t.startswith("grade failed") for t in s.trace)
+    assert A.State.of(s.as_dict()) == s
+
+
+def test_worker_runs_handlers(spark):
+    import datetime as dt
+
+    from quarry.operators import worker as W
+
+    now = dt.datetime(2030, 1, 1)
+    schema = "job_id long, idempotency_key string, job_type string, status string, attempt int, max_attempts int, priority int, payload string, document_id long, last_error string, locked_by string, locked_until timestamp, next_run_at timestamp, started_at timestamp"
+    rows = [(i, f"k{i}", kind, "queued", 0, 3, 0, None, None, None, None, None, now - dt.timedelta(seconds=1), None) for i, kind in enumerate(["ingest", "odd", "breaks", "lost"], 1)]
+    held = [spark.createDataFrame(rows, schema)]
+
+    def write(df):
+        held[0] = spark.createDataFrame(df.collect(), schema)
+
+    def broken(job):
+        raise OSError("later")
+
+    def lost(job):
+        raise W.Permanent("gone")
+
+    made = W.Worker(spark, lambda: held[0], write, {"ingest": lambda job: 77, "breaks": broken, "lost": lost}, clock=lambda: now)
+    assert made.run(drain=True) == 4
+    got = {r.job_id: r for r in held[0].collect()}
+    assert (got[1].status, got[1].document_id) == ("succeeded", 77) and (got[2].status, got[4].status) == ("failed", "failed") and "unknown_job_type" in got[2].last_error
+    assert got[3].status == "queued" and got[3].next_run_at > now and "OSError" in got[3].last_error
+    made.stop()
+    assert made.run() == 0 and W.preflight({"repository": "memory", "index": "local"}) != [] and W.preflight({}) == []
+
+
+def test_translator_counter_and_batches(spark):
+    from quarry import providers as P
+
+    model = ScriptedGenerator([{"content": '"vector  store"'}, {"content": "还是中文"}])
+    t = P.ModelTranslator(model)
+    q = spark.createDataFrame([(1, "向量库"), (2, "向量库"), (3, "plain"), (4, None)], "query_id long, text string")
+    assert {r.query_id: r.translated for r in t.translate(q).collect()} == {1: "vector store", 2: "vector store", 3: None, 4: None}
+    assert t.one("另一个") is None and t.one("另一个") is None and len(model.seen) == 2 and t.one("第三个") is None  # the script is over
+    assert list(P.batches(range(5), 2)) == [[0, 1], [2, 3], [4]]
+    with pytest.raises(ValueError):
+        list(P.batches([], 0))
+    import public_tokenizers
+
+    exact = P.ExactTokens(public_tokenizers.path("word_bpe_49k.json"))
+    df = spark.createDataFrame([("hello world",), (None,), ("",)], "text string")
+    assert [r.token_count for r in exact.column(df, "text").collect()] == [exact.count("hello world"), 0, 0] and exact.count("hello world") == 2
