@@ -12,6 +12,7 @@ sent to all workers unmeasured, keeps those fingerprints at home that no item ha
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,8 @@ K = 5
 BITS_EACH, MOST_BITS = 64, 1 << 28
 #: Bytes of benchmark fingerprints and of keys of contaminated documents that are sent to all workers; more are joined.
 SENT_BYTES = 32 << 20
+#: Text bytes that are hashed together: the tables and sums for them take about 60 times as much.
+SLICE = 1 << 20
 #: Fingerprints of a document in one row; a document with more has several rows.
 ROW_PRINTS = 4096
 
@@ -58,7 +61,7 @@ class Hasher:
 
     def words(self, w: Words) -> np.ndarray:
         if len(self.up) <= len(w.text):
-            n = max(1 << 16, 2 * len(w.text) + 1)
+            n = max(SLICE, len(w.text)) + 1
             self.up, self.down = _powers(np.uint64(_BASE), n), _powers(_INVERSE, n)
         total = np.zeros(len(w.text) + 1, np.uint64)
         np.cumsum((w.text.astype(np.uint64) + np.uint64(1)) * self.up[: len(w.text)], out=total[1:])
@@ -152,7 +155,7 @@ def benchmark_prints(benchmark: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for b in batches:
-            for first, _, offsets, raw in text_slices(b.column(1)):
+            for first, _, offsets, raw in text_slices(b.column(1), SLICE):
                 w = Words(offsets, raw)
                 hashed = hasher.words(w)
                 for span in range(1, SPAN + 1):
@@ -187,7 +190,7 @@ def document_prints(docs: DataFrame, bits: Bits, spans: list[int]) -> DataFrame:
         number = TaskContext.get().partitionId() << 40
         for b in batches:
             taken, rows, words, prints = [], [], [], []
-            for first, end, offsets, raw in text_slices(b.column(1)):
+            for first, end, offsets, raw in text_slices(b.column(1), SLICE):
                 w = Words(offsets, raw)
                 hashed = hasher.words(w)
                 found: dict[int, list[dict]] = {}
@@ -262,18 +265,51 @@ def measure(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Only rows with a hit are shuffled, with their runs and items.
     """
     base, found = _searched(docs.select(F.col("doc_id").alias("key"), "text"), benchmark)
-    found = materialise(found)
-    covered = merged(found, ["row"]).groupBy("row").agg(F.sum(F.col("end") - F.col("first")).alias("n_hit"))
-    # as many items as the benchmark has, at most: the result holds a hash of their list
-    who = found.select("row", "item").distinct().groupBy("row").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    some = covered.join(who, "row").select("row", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
     rows = base.where("n_words is not null")
     zero = F.lit(0).cast("long")
     none = (("n_hit", zero), ("n_items", zero), ("items_sha256", F.sha2(F.lit("").cast("binary"), 256)))
     clear = rows.where(F.size("prints") == 0).select("key", "n_words", *(value.alias(name) for name, value in none))
-    maybe = rows.where(F.size("prints") > 0).select("row", "key", "n_words").join(some, "row", "left")
-    maybe = maybe.select("key", "n_words", *(F.coalesce(name, value).alias(name) for name, value in none))
-    return clear.unionByName(maybe).withColumnRenamed("key", "doc_id").withColumn("contaminated", F.col("n_hit") > 0)
+    return clear.unionByName(_measured(rows.where(F.size("prints") > 0), found)).withColumnRenamed("key", "doc_id").withColumn("contaminated", F.col("n_hit") > 0)
+
+
+def _measured(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """key, n_words, n_hit, n_items and items_sha256 of ``rows``, read off their hits in order of place.
+
+    A row and its hits meet in one shuffle and one sort; the pass over them holds the end of the last run and
+    the set of items, as many as the benchmark has at most.
+    """
+    no = lambda kind: F.lit(None).cast(kind)
+    kind = rows.schema["key"].dataType
+    heads = rows.select("row", F.lit(-1).cast("long").alias("first"), no("long").alias("end"), no("string").alias("item"), "key", "n_words")
+    both = heads.unionByName(found.select("row", "first", "end", "item", no(kind).alias("key"), no("long").alias("n_words")))
+    dealt = both.repartition("row").sortWithinPartitions("row", "first", "end")
+    names = ["key", "n_words", "n_hit", "n_items", "items_sha256"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, key, words, hit, last, items = None, None, None, 0, 0, set()
+
+        def done() -> pa.RecordBatch:
+            digest = hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+            return pa.RecordBatch.from_arrays([key, pa.array([words], pa.int64()), pa.array([hit], pa.int64()), pa.array([len(items)], pa.int64()), pa.array([digest])], names=names)
+
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            for i, (row, first, end, item, n) in enumerate(zip(*(b.column(k).to_pylist() for k in (0, 1, 2, 3, 5)), strict=True)):
+                if row != now:
+                    if now is not None:
+                        held.append(done())
+                    now, key, words, hit, last, items = row, b.column(4).slice(i, 1), n, 0, 0, set()
+                else:
+                    hit += max(0, end - max(first, last))
+                    last = max(last, end)
+                    items.add(item)
+            if held:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held = []
+        if now is not None:
+            yield done()
+
+    return map_text(dealt, run, f"key {kind.simpleString()}, n_words long, n_hit long, n_items long, items_sha256 string")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
