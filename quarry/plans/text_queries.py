@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry._session import spread, table
+from quarry._session import shared_folder, spread, table
 from quarry.config import ChunkSettings
 from quarry.functions import text as X
 from quarry.operators import chunking, index
@@ -26,7 +26,9 @@ WITH h AS (SELECT doc_id, sha256(trim(regexp_replace(coalesce(text, ''), '\s+',
 SELECT doc_id, text_hash, min(doc_id) OVER (PARTITION BY text_hash) AS kept_id, min(doc_id) OVER (PARTITION BY text_hash) <> doc_id AS duplicate FROM h""")
 def doc_hash_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hash of the folded text, and the first document with it. The least id is a partial aggregate, so copies never meet in one task."""
-    h = table(spark, sf_dir, "documents").select("doc_id", X.text_hash(F.col("text")).alias("text_hash"))
+    shared_folder(spark)
+    # read twice, so the narrow hashes are kept in the shared folder
+    h = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", X.text_hash(F.col("text")).alias("text_hash")).checkpoint(eager=True)
     return h.join(h.groupBy("text_hash").agg(F.min("doc_id").alias("kept_id")), "text_hash").select("doc_id", "text_hash", "kept_id", (F.col("kept_id") != F.col("doc_id")).alias("duplicate"))
 
 
@@ -108,7 +110,7 @@ WITH p AS (SELECT doc_id, list_filter(regexp_extract_all(coalesce(text, ''), '[^
 SELECT doc_id, len(l) AS n_pieces, coalesce(list_max(list_transform(l, lambda x: length(x))), 0) AS longest, sha256(coalesce(list_aggregate(l, 'string_agg', '|'), '')) AS hash FROM p""")
 def sentence_split_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences with their ends."""
-    p = table(spark, sf_dir, "documents").select("doc_id", X.split_keep(F.col("text")).alias("l"))
+    p = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", X.split_keep(F.col("text")).alias("l"))
     return p.select("doc_id", F.size("l").alias("n_pieces"), F.coalesce(F.array_max(F.transform("l", lambda x: F.char_length(x))), F.lit(0)).alias("longest"), F.sha2(F.array_join("l", "|"), 256).alias("hash"))
 
 
@@ -117,7 +119,7 @@ WITH t AS (SELECT doc_id, {TOKENS.format("coalesce(text, '')")} AS l, coalesce(t
 SELECT doc_id, len(l) AS n_tokens, len(list_distinct(l)) AS n_distinct, ceil(length(text) / 4.0)::BIGINT AS estimate FROM t""")
 def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens, distinct tokens and the token estimate of documents."""
-    d = table(spark, sf_dir, "documents").select("doc_id", X.tokens(F.col("text")).alias("l"), X.token_count(F.col("text")).alias("estimate"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", X.tokens(F.col("text")).alias("l"), X.token_count(F.col("text")).alias("estimate"))
     return d.select("doc_id", F.size("l").alias("n_tokens"), F.size(F.array_distinct("l")).alias("n_distinct"), "estimate")
 
 
