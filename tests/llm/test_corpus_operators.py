@@ -735,3 +735,32 @@ def test_pipeline(spark, tmp_path):
     assert not any(plain_hits(r.text, bench)[4] for r in rows)
     prints = [plain_fingerprint(r.text) for r in rows]
     assert all((a ^ b).bit_count() > 3 for i, a in enumerate(prints) for b in prints[:i])
+
+
+def test_pipeline_stages_on_awkward_tables(spark, real, tmp_path):
+    base = real.limit(60).withColumn("__rank", F.lit("r")).withColumn("a", F.lit(1)).withColumn("row", F.lit(2)).withColumn("a b", F.lit("x"))
+    first = base.orderBy("doc_id").first()
+    odd = [(None, None), (None, first.text), (-5, None), (-6, ""), (-7, "%%% 5"), (first.doc_id, first.text), (-8, first.text), (-9, "word " * 100_000)]
+    rows = spark.createDataFrame([(i, t, None, None, None, "r", 1, 2, "x") for i, t in odd], base.schema)
+    docs_ = base.unionByName(rows)
+    docs_.write.parquet(str(tmp_path / "in"))
+    docs_ = spark.read.parquet(str(tmp_path / "in"))
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs_, SF)
+        assert out.columns == docs_.columns, name
+        kept[name] = [r.doc_id for r in out.select("doc_id").collect()]
+        assert stage(spark, docs_.limit(0), SF).count() == 0, name
+    assert {-5, -6, -7, -8, -9} <= set(kept["toxicity"]) and kept["toxicity"].count(None) == 2
+    assert not {-5, -6, -7} & set(kept["language_id"])
+    assert -8 in kept["simhash_dedup"] and first.doc_id not in kept["simhash_dedup"] and kept["simhash_dedup"].count(None) == 2
+    assert len({-5, -6} & set(kept["simhash_dedup"])) == 1  # both without words
+    assert {-5, -6, -7, -9} <= set(kept["decontamination"]) and kept["decontamination"].count(first.doc_id) in (0, 2)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs_, SF)
+    assert Counter(r.doc_id for r in packed.where("piece = 0").collect()) == Counter(r.doc_id for r in docs_.select("doc_id").collect())
+    assert corpus_pipeline.STAGES[-1][1](spark, docs_.limit(0), SF).count() == 0
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(str(tmp_path / "none" / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    assert corpus_pipeline.drop_contaminated(spark, docs_, str(tmp_path / "none")).count() == docs_.count()
+    assert corpus_pipeline.drop_toxic(spark, docs_, str(tmp_path / "none")).count() == docs_.count()
