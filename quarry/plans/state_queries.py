@@ -231,19 +231,28 @@ def schedule_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT * FROM (VALUES ('AI-101-A', true, true, 'MATH-ADV-A 1 09:00-10:25 16'), ('ML-201-B', true, false, ''), ('none', false, NULL, '')) t(course_id, found, has_conflict, what)""")
+WITH m AS (SELECT p_partkey AS course_id, 1 + p_partkey % 5 AS wd, 480 + (p_partkey % 10) * 50 AS s, 570 + (p_partkey % 10) * 50 AS e, 1 + p_partkey % 4 AS w0, 8 + p_partkey % 4 AS w1 FROM part),
+taken AS (SELECT DISTINCT o_custkey AS student_id, l_partkey AS with_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+asked AS (SELECT c_custkey AS student_id, unnest([(c_custkey * 7) % 150 + 1, 1000000000 + c_custkey]) AS course_id FROM customer),
+x AS (SELECT student_id, a.course_id, with_id, (least(c.e, n.e) - greatest(c.s, n.s)) * (least(c.w1, n.w1) - greatest(c.w0, n.w0) + 1) AS minutes
+  FROM asked a JOIN m c USING (course_id) JOIN taken USING (student_id) JOIN m n ON n.course_id = with_id AND n.wd = c.wd WHERE greatest(c.s, n.s) < least(c.e, n.e) AND greatest(c.w0, n.w0) <= least(c.w1, n.w1)),
+g AS (SELECT student_id, course_id, count(*) AS n, sum(minutes) AS minutes FROM x GROUP BY ALL)
+SELECT student_id, course_id, m.wd IS NOT NULL AS found, CASE WHEN m.wd IS NOT NULL THEN n IS NOT NULL END AS has_conflict, coalesce(n, 0) AS n_conflicts, coalesce(g.minutes, 0)::BIGINT AS minutes
+FROM asked LEFT JOIN m USING (course_id) LEFT JOIN g USING (student_id, course_id)""")
 def schedule_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conflicts of three requested courses with a student's schedule (small literal tables)."""
-    kind = "course_id string, course_code string, name string, meeting_times array<struct<weekday:int,start_time:string,end_time:string,weeks:array<int>>>"
-    weeks = list(range(1, 17))
-    courses = spark.createDataFrame([("AI-101-A", "AI101", "a", [(1, "09:00", "10:40", weeks)]), ("ML-201-B", "ML201", "m", [(2, "14:00", "15:40", weeks)])], kind)
-    taken = spark.createDataFrame([("MATH-ADV-A", "MATH", "n", [(1, "08:50", "10:25", weeks)])], kind).withColumnRenamed("name", "course_name").withColumn("student_id", F.lit("S001"))
-    asked = spark.createDataFrame([("S001", c) for c in ("AI-101-A", "ML-201-B", "none")], "student_id string, course_id string")
+    """Conflicts of two requested courses (one of them unknown) with every student's timetable; parts, customers and what they ordered stand for them."""
+    key = F.col("p_partkey")
+    clock = lambda m: F.format_string("%02d:%02d", F.floor(m / 60), m % 60)
+    meeting = F.array(F.struct((1 + key % 5).cast("int").alias("weekday"), clock(480 + (key % 10) * 50).alias("start_time"), clock(570 + (key % 10) * 50).alias("end_time"), F.sequence((1 + key % 4).cast("int"), (8 + key % 4).cast("int")).alias("weeks")))
+    courses = table(spark, sf_dir, "part").select(key.alias("course_id"), F.col("p_name").alias("course_code"), F.col("p_name").alias("name"), meeting.alias("meeting_times"))
+    own = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("student_id"), F.col("l_partkey").alias("course_id")).distinct()
+    taken = own.join(courses, "course_id").withColumnRenamed("name", "course_name")
+    c = F.col("c_custkey")
+    asked = table(spark, sf_dir, "customer").select(c.alias("student_id"), F.explode(F.array((c * 7) % 150 + 1, F.lit(1_000_000_000) + c)).alias("course_id"))
     out = records.conflicts(asked, courses, taken)
-    c = F.col("conflicts")[0]
-    o = c["overlaps"][0]
-    what = F.coalesce(F.concat_ws(" ", c["with_course_id"], o["weekday"], F.concat(o["start_time"], F.lit("-"), o["end_time"]), F.when(c.isNotNull(), F.size(o["weeks"]))), F.lit(""))
-    return out.select("course_id", "found", "has_conflict", what.alias("what"))
+    crossed = F.flatten(F.transform(F.coalesce("conflicts", F.array().cast(out.schema["conflicts"].dataType)), lambda x: x["overlaps"]))
+    minutes = F.aggregate(crossed, F.lit(0).cast("long"), lambda a, o: a + ((X.minutes(o["end_time"]) - X.minutes(o["start_time"])) * F.size(o["weeks"])).cast("long"))
+    return out.select("student_id", "course_id", "found", "has_conflict", F.coalesce(F.size("conflicts"), F.lit(0)).alias("n_conflicts"), minutes.alias("minutes"))
 
 
 @query("SELECT * FROM (VALUES (1, 'native', -1.0), (2, 'ocr', 0.9), (3, 'mixed', 0.9), (4, 'mixed', 0.7)) t(span_id, extraction_method, ocr_confidence)")

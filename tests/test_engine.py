@@ -258,10 +258,14 @@ def test_messages(spark):
 
 
 def test_conflicts(spark):
-    from quarry.plans.state_queries import schedule_conflict
-
-    got = {r.course_id: (r.found, r.has_conflict, r.what) for r in schedule_conflict(spark, "").collect()}
-    assert got == {"AI-101-A": (True, True, "MATH-ADV-A 1 09:00-10:25 16"), "ML-201-B": (True, False, ""), "none": (False, None, "")}
+    kind = "course_id string, course_code string, name string, meeting_times array<struct<weekday:int,start_time:string,end_time:string,weeks:array<int>>>"
+    courses = spark.createDataFrame([("oak", "O1", "Oaks", [(3, "13:15", "15:00", [2, 4, 6])]), ("elm", "E1", "Elms", [(5, "10:00", "11:00", [1])])], kind)
+    taken = spark.createDataFrame([("fir", "F1", "Firs", [(3, "14:30", "16:00", [6, 7])])], kind).withColumnRenamed("name", "course_name").withColumn("student_id", F.lit("s"))
+    asked = spark.createDataFrame([("s", c) for c in ("oak", "elm", "none")], "student_id string, course_id string")
+    got = {r.course_id: r for r in records.conflicts(asked, courses, taken).collect()}
+    assert {k: (r.found, r.has_conflict) for k, r in got.items()} == {"oak": (True, True), "elm": (True, False), "none": (False, None)}
+    (c,) = got["oak"].conflicts
+    assert c.with_course_code == "F1" and [(o.weekday, o.start_time, o.end_time, o.weeks) for o in c.overlaps] == [(3, "14:30", "15:00", [6])]
 
 
 def test_records(spark):
