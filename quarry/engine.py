@@ -104,8 +104,8 @@ class Engine:
         documents = documents.select(*(f.name for f in self.table("documents").schema)).persist()
         vectors = self.embedder.embed(chunks.select("chunk_id", "document_id", "tenant_id", "content", "embed_text"), "embed_text").drop("embed_text").withColumn("is_active", F.lit(True))
         self.replace("documents", index.upsert(self.table("documents"), documents, "document_id"), ["document_id"])
-        self.replace("chunks", index.upsert(self.table("chunks"), chunks.withColumn("embed_status", F.lit("embedded")).select(*(f.name for f in self.table("chunks").schema)), "chunk_id"), ["document_id", "chunk_index"])
-        self.replace(self.index_name, index.upsert(self.table(self.index_name), vectors.select(*(f.name for f in self.table(self.index_name).schema)), "chunk_id"), ["chunk_id"])
+        self.replace("chunks", index.replace_documents(self.table("chunks"), chunks.withColumn("embed_status", F.lit("embedded")).select(*(f.name for f in self.table("chunks").schema))), ["document_id", "chunk_index"])
+        self.replace(self.index_name, index.replace_documents(self.table(self.index_name), vectors.select(*(f.name for f in self.table(self.index_name).schema))), ["chunk_id"])
         return self.table("documents").join(documents.select("document_id"), "document_id", "left_semi")
 
     def delete_document(self, document_id: int) -> int:

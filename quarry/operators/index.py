@@ -194,6 +194,12 @@ def upsert(index: DataFrame, records: DataFrame, key: str = "chunk_id") -> DataF
     return index.join(records.select(key), key, "left_anti").select(*records.columns).unionByName(records)
 
 
+def replace_documents(index: DataFrame, records: DataFrame) -> DataFrame:
+    """The index with ``records`` in place of all rows of their documents and tenants, also if they are fewer than before."""
+    own = records.select("tenant_id", "document_id").distinct()
+    return index.join(own, ["tenant_id", "document_id"], "left_anti").select(*records.columns).unionByName(records)
+
+
 def delete_document(index: DataFrame, document_id: int, tenant_id: int = 1) -> tuple[DataFrame, DataFrame]:
     """The index without a document of a tenant, and one row with how many rows go."""
     gone = (F.col("document_id") == document_id) & (F.col("tenant_id") == tenant_id)

@@ -433,6 +433,13 @@ def test_lexical_index_follows_its_documents(spark, tmp_path):
     assert made.search(asked).count() == 0 and made.stats() == (0, 1.0)
 
 
+def test_replacing_a_document_leaves_no_old_chunk(spark):
+    schema = "chunk_id long, document_id long, tenant_id int"
+    old = spark.createDataFrame([(1, 1, 1), (2, 1, 1), (3, 2, 1), (1, 1, 2)], schema)
+    now = index.replace_documents(old, spark.createDataFrame([(1, 1, 1)], schema))
+    assert sorted(map(tuple, now.collect())) == [(1, 1, 1), (1, 1, 2), (3, 2, 1)]
+
+
 def test_a_failing_channel_leaves_the_others(spark):
     table = spark.createDataFrame([(1, 1, "alpha beta", "paragraph"), (2, 2, "beta gamma", "paragraph")], "chunk_id long, document_id long, content string, node_type string")
     asked = spark.createDataFrame([(7, "beta gamma")], "query_id long, text string")
